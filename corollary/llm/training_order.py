@@ -1,26 +1,29 @@
 """Training-order materialisation: token sequences at permuted slots of fixed-stride binary shards.
 
-Texts are tokenised, each followed by an end token, and joined in the order of doc_id (then text hash)
-into one stream, which is cut into sequences of `length` tokens; the last one is filled up with end
-tokens. A keyed Feistel network with cycle-walking permutes the numbers 0..n-1 of the sequences: it is
-a bijection that any task evaluates alone, for any n, in constant memory. A sequence's image is its
-slot. Shard s holds the slots from s * per_shard on, `length` little-endian unsigned 16-bit ids each,
-so slot t is at byte (t mod per_shard) * length * 2 of shard t // per_shard: reads are sequential and
-resume anywhere. Shards are written under another name and then renamed: a task that runs again leaves
-the same bytes.
-
-Where the stream of a partition begins is the sum of the token counts of those before it, one number
-each; a document that runs over the end of a sequence sends its pieces to the slots of both.
-
-Defined results: null and empty texts have no token and no place; rows that share a doc_id are put in
-the order of their texts' hashes, repeated ones both count; null ids come first; an empty table gives
-no sequence and no shard; further columns are ignored.
+Texts are tokenised, each followed by an end token, and joined in the order of the input's partitions
+and rows into one stream, which is cut into sequences of `length` tokens; the last one is filled up
+with end tokens. A keyed Feistel network with cycle-walking permutes the numbers 0..n-1 of the
+sequences: it is a bijection that any task evaluates alone, for any n, in constant memory. A sequence's
+image is its slot. Shard s holds the slots from s * per_shard on, `length` little-endian unsigned 16-bit
+ids each, so slot t is at byte (t mod per_shard) * length * 2 of shard t // per_shard: reads are
+sequential and resume anywhere. Shards are written under another name and then renamed: a task that
+runs again leaves the same bytes.
+
+The input is tokenised twice, which is cheaper than keeping the ids: first for the number of tokens of
+each partition, one number and a check sum each, whose running sums tell where a partition's stream
+begins; then to send the ids to their slots. The second pass raises if it doesn't meet the first one's
+check sum; an input whose plan has a shuffle, so that its rows may move, is written to the shared folder
+first. A document that runs over the end of a sequence sends its pieces to the slots of both.
+
+Defined results: null and empty texts have no token and no place; rows that share a doc_id, and repeated
+rows, all count; a null doc_id is listed as null; an empty table gives no sequence and no shard; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import id_text, n_partitions, scratch_root, stage
 from .textops import U, mix, pieces
+from .tokens import TOKENIZER, encoder
 
-LENGTH, PER_SHARD, KEY, END, ROUNDS = 1024, 4096, 0x5EED, 2, 4
-TOKENIZER = os.environ.get("COROLLARY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+LENGTH, PER_SHARD, KEY, END, ROUNDS = 1024, 16_384, 0x5EED, 2, 4
 
 
 def _half_bits(n: int) -> int:
@@ -79,46 +82,51 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
         raise ValueError("length and per_shard must be positive")
     folder = folder or f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
+    base = id_text(docs).where("text is not null and text <> ''")
+    if "Exchange" in base._jdf.queryExecution().executedPlan().toString():
+        base = stage(base, "docs")
 
-        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
-        if model.get_piece_size() > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
-        for b in pieces(batches, 1 << 20):
-            ids = [np.array([*x, end], "<u2").tobytes() for x in model.encode(b.column(1).to_pylist(), num_threads=1)]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(ids, pa.binary())], names=["doc_id", "th", "ids"])
+    def check_sum(check: int, n: np.ndarray) -> int:
+        return zlib.crc32(n.tobytes(), check)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = np.diff(np.frombuffer(b.column(2).buffers()[1], np.int32)[b.column(2).offset : b.column(2).offset + b.num_rows + 1]).astype(np.int64) // 2
-            begin = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(np.full(b.num_rows, me, np.int32)), pa.array(begin), pa.array(n)], names=["doc_id", "ids", "part", "at", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = check = 0
+        for b in pieces(batches):
+            n = encoder(tokenizer).count(b.column(1)) + 1
+            total, check = total + int(n.sum()), check_sum(check, n)
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64()), pa.array([check], pa.int64())], names=["part", "n", "check"])
 
-    tokens = id_text(docs).where("text is not null and text <> ''").withColumn("th", F.xxhash64("text")).mapInArrow(encode, "doc_id long, th long, ids binary")
-    stream = stage(tokens, "tokens").repartitionByRange(n_partitions(spark), "doc_id", "th").sortWithinPartitions("doc_id", "th")
-    stream = stage(stream.mapInArrow(place, "doc_id long, ids binary, part int, at long, n long"), "stream")
     offset, total = {}, 0
-    for part, n in sorted((r[0], r[1]) for r in stream.groupBy("part").agg(F.sum("n")).collect()):
-        offset[part], total = total, total + n
+    for part, n, check in sorted(base.mapInArrow(count, "part int, n long, check long").collect()):
+        offset[part], total = (total, check), total + n
     n_seq = -(-total // length)
     shared = spark.sparkContext.broadcast(offset)
+    n_shards, n_parts = -(-n_seq // per_shard), n_partitions(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            begin = b.column(3).to_numpy() + np.array([shared.value[p] for p in b.column(2).to_pylist()], np.int64)
-            n = b.column(4).to_numpy()
+        at, expected = shared.value[TaskContext.get().partitionId()]
+        check = 0
+        for b in pieces(batches):
+            doc = b.column(0)
+            ids, n = encoder(tokenizer).encode(b.column(1), end)
+            check = check_sum(check, n)
+            begin = at + np.cumsum(n) - n
             first = begin // length
             many = (begin + n - 1) // length - first + 1
-            row = np.repeat(np.arange(b.num_rows), many)
+            row = np.repeat(np.arange(len(n)), many)
             seq = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
             lo, hi = np.maximum(seq * length, begin[row]), np.minimum((seq + 1) * length, begin[row] + n[row])
-            ids = [x.as_py() for x in b.column(1)]
-            cuts = [ids[r][2 * i : 2 * j] for r, i, j in zip(row.tolist(), (lo - begin[row]).tolist(), (hi - begin[row]).tolist(), strict=True)]
+            edges = np.append(lo, hi[-1]) - at if len(row) else np.zeros(1, np.int64)
             slot = permute(seq, n_seq, key)
-            yield pa.record_batch([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array((lo - seq * length).astype(np.int32)), pa.array(seq), b.column(0).take(pa.array(row)), pa.array(cuts, pa.binary())], names=["shard", "slot", "at", "seq", "doc_id", "ids"])
+            shard = slot // per_shard
+            cuts = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+            at += int(n.sum())
+            yield pa.record_batch(
+                [pa.array((shard * min(n_parts, n_shards) // n_shards).astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(slot), pa.array((lo - seq * length).astype(np.int32)), pa.array(seq), doc.take(pa.array(row)), cuts],
+                names=["part", "shard", "slot", "at", "seq", "doc_id", "ids"],
+            )
+        if check != expected:
+            raise RuntimeError("the input's rows moved between the passes; write it to a table first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(folder)
@@ -173,7 +181,7 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
     schema = "slot long, seq long, shard int, offset long, doc_ids array<long>, check long"
     if not n_seq:
         return spark.createDataFrame([], schema)
-    # Ranges of shards keep a shard in one task; sorting makes its writes sequential.
-    pieces_ = stream.mapInArrow(cut, "shard int, slot long, at int, seq long, doc_id long, ids binary")
-    placed = pieces_.repartitionByRange(n_partitions(spark), "shard").sortWithinPartitions("shard", "slot", "at")
+    # Part p has the p-th range of shards: a shard is one task's, and sorting makes its writes sequential.
+    cuts = base.mapInArrow(cut, "part int, shard int, slot long, at int, seq long, doc_id long, ids binary")
+    placed = cuts.repartitionById(min(n_parts, n_shards), F.col("part")).drop("part").sortWithinPartitions("shard", "slot", "at")
     return stage(placed.mapInArrow(write, schema), "manifest")
