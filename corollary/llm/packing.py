@@ -15,7 +15,6 @@ no window. Windows are numbered from 0; pieces of a window are listed by doc_id
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import id_text, n_partitions, stage
 from .textops import pieces
+from .tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
-TOKENIZER = os.environ.get("COROLLARY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
 Plan = list[tuple[dict[int, int], int]]  # counts of lengths in a window, and how many such windows
 
@@ -90,12 +89,9 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) of each row whose text has a token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
-        for b in pieces(batches, 1 << 20):
-            n = [len(x) for x in model.encode(b.column(1).to_pylist(), num_threads=1)]
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int32())], names=["doc_id", "n_tokens"])
+        for b in pieces(batches):
+            n = encoder(tokenizer).count(b.column(1))
+            yield pa.record_batch([b.column(0), pa.array(n.astype(np.int32))], names=["doc_id", "n_tokens"])
 
     return id_text(docs).where("text is not null and text <> ''").mapInArrow(count, "doc_id long, n_tokens int").where("n_tokens > 0")
 
