@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, n_partitions, need, small, stage
+from .common import fresh, id_text, n_partitions, need, small, stage
 from .textops import U, Words, mix, ngrams, pieces
 
 SHINGLE, REGISTERS, ROWS, THRESHOLD = 3, 160, 4, 0.5
@@ -206,6 +206,6 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE,
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group, all columns kept; documents without partner stay."""
     need(docs, "doc_id", "text")
-    gone = near_groups(docs, **options).select(F.col("doc_id").alias("__gone"))
-    gone = small(stage(gone, "gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    column = fresh(docs, "gone")
+    gone = small(stage(near_groups(docs, **options).select(F.col("doc_id").alias(column)), "gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(column), "left_anti")
