@@ -8,11 +8,12 @@ Places whose terms don't tell the classes apart in the training rows (chi-square
 
 Training reads at most `max_rows` labelled rows of either class, chosen by a hash of doc_id (the
 documented bound on what the driver gathers); scoring covers every document. The threshold is the
-one of best F1 on the part of the sample held out from training.
+one of best F1, of those with a precision of at least LEAST_PRECISION, on the part of the sample held
+out from training.
 
 Defined results: null and empty texts score as texts without words; labels that are null, neither 0
 nor 1, or of no document are ignored; a doc_id labelled both ways counts as toxic; without rows of
-both classes nothing is toxic; repeated rows are each scored; a null doc_id is scored too.
+both classes, or without a threshold of that precision, nothing is toxic; repeated rows are each scored; a null doc_id is scored too.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .common import fresh, id_text, need
 from .textops import U, Words, mix, pieces
 
-BITS, LEADING, FACTORS, MAX_ROWS = 18, (4, 5, 6, 7, 8), 8, 4000
+BITS, LEADING, FACTORS, MAX_ROWS, LEAST_PRECISION = 18, (4, 5, 6, 7, 8), 8, 4000, 0.5
 
 
 def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +126,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, seed: int = 7)
     p = model.score(np.repeat(np.arange(len(check)), [len(rows[i]) for i in check]), np.concatenate([rows[i] for i in check]), len(check))
     order = np.argsort(-p)
     hits, at = np.cumsum(y[check][order]), np.arange(1, len(check) + 1)
+    # A cut goes between different scores, and most of what is above it must be toxic; without such a cut nothing is.
     f1 = 2 * hits / (at + y[check].sum())
+    f1[np.append(p[order[1:]] == p[order[:-1]], False) | (hits < LEAST_PRECISION * at)] = -1
     best = int(np.argmax(f1))
-    model.threshold = float((p[order[best]] + (p[order[best + 1]] if best + 1 < len(p) else 0)) / 2)
+    below = p[order[best + 1]] if best + 1 < len(p) else 0.0
+    model.threshold = float((p[order[best]] + below) / 2) if f1[best] > 0 else np.inf
     return model
 
 
