@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -21,6 +23,7 @@ def root(spark: SparkSession) -> str:
         return where.rstrip("/")
     if _own is None or not os.path.isdir(_own):
         _own = tempfile.mkdtemp(prefix="corollary-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return f"file://{_own}"
 
 
