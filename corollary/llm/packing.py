@@ -145,4 +145,5 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    return pack_lengths(token_counts(docs, tokenizer), capacity)
+    # Written once: the range partitioning of the pieces reads the lengths twice.
+    return pack_lengths(stage(token_counts(docs, tokenizer), "lengths"), capacity)
