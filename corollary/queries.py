@@ -296,7 +296,7 @@ def observation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOTH = "WITH e AS {nedge}, b AS (SELECT c0 AS x, c1 AS y FROM e UNION SELECT c1, c0 FROM e), h1 AS (SELECT y FROM b WHERE x = 2), h2 AS (SELECT b.y FROM b JOIN h1 ON b.x = h1.y), h3 AS (SELECT b.y FROM b JOIN h2 ON b.x = h2.y)"
-add("traverse_bfs3", on("nedge", "node depth", lambda e: graph.traverse(e, 2, 3)), _BOTH + " SELECT node, min(depth) AS depth FROM (SELECT cast(2 as bigint) AS node, 0 AS depth UNION ALL SELECT y, 1 FROM h1 UNION ALL SELECT y, 2 FROM h2 UNION ALL SELECT y, 3 FROM h3) GROUP BY 1")
+add("traverse_bfs3", on("nedge", "node depth", lambda e: graph.traverse(e, 2, 3)), _BOTH + " SELECT node, min(depth) AS depth FROM (SELECT x AS node, 0 AS depth FROM b WHERE x = 2 UNION ALL SELECT y, 1 FROM h1 UNION ALL SELECT y, 2 FROM h2 UNION ALL SELECT y, 3 FROM h3) GROUP BY 1")
 add("node_observations", lambda s, d: graph.node_observations(observation(s, d), "7"), "SELECT DISTINCT text AS content FROM documents WHERE doc_id::varchar = '7'")
 _TOK = "list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), '{}')"
 _FOUND = f"SELECT DISTINCT text AS content, 2 AS score FROM documents WHERE {_TOK.format('the')} AND {_TOK.format('mit')}"
