@@ -1,12 +1,14 @@
-"""Approximate vector search: bit signatures in bands, int8 re-ranking."""
+"""Approximate vector search: bit signatures in bands, int8 re-ranking; for one query vector or for all rows at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BAND_BITS = 16
@@ -99,10 +101,96 @@ def rerank(encoded: DataFrame, query: list[int], found: DataFrame, k: int | None
 
 
 def vector_search(encoded: DataFrame, query_bands: list[int], query_q: list[int], k: int, radius: int = 2, entities: DataFrame | None = None) -> DataFrame:
-    return rerank(encoded, query_q, candidates(band_table(encoded), query_bands, k * 10, radius, entities), k)
+    """All candidates, re-ranked."""
+    return rerank(encoded, query_q, candidates(band_table(encoded), query_bands, None, radius, entities), k)
 
 
 def hybrid_search(encoded: DataFrame, lexical: DataFrame, query_bands: list[int], query_q: list[int], k: int, radius: int = 2) -> DataFrame:
-    """Vector candidates that a lexical search (entity, ..) found too, re-ranked."""
-    found = candidates(band_table(encoded), query_bands, k * 10, radius).join(lexical.select("entity").distinct(), "entity", "left_semi")
-    return rerank(encoded, query_q, found, k)
+    """All vector candidates that a lexical search (entity, ..) found too, re-ranked."""
+    return vector_search(encoded, query_bands, query_q, k, radius, lexical)
+
+
+# Every row of a table as a query. The table is cut into blocks, and each pair of blocks is one task.
+
+BLOCKS, BLOCK_ROWS = 8, (1024, 1 << 17)  # blocks of a table, unless their rows are outside these bounds
+PAIR_ROWS = (1024, 2048)  # the same where all pairs of a task are returned
+CELL = 1 << 20  # pairs that a task looks at together
+
+
+def _cells(queries: DataFrame, entities: DataFrame, work: Callable[[pa.Table, pa.Table], Iterator[pa.Table]], schema: str, rows: tuple[int, int], *columns: Column) -> DataFrame:
+    """work on every pair of a block of queries and one of entities, both (entity, columns)."""
+    n = [df.count() for df in (queries, entities)]
+    size = [min(rows[1], max(rows[0], -(-x // BLOCKS))) for x in n]
+    many = [max(1, -(-x // y)) for x, y in zip(n, size, strict=True)]
+    sides = []
+    for df, own in ((queries, 0), (entities, 1)):
+        names = ("x", "y") if own == 0 else ("y", "x")
+        block = F.pmod(F.xxhash64("entity"), F.lit(many[own])).cast("int").alias(names[0])
+        other = F.explode(F.sequence(F.lit(0), F.lit(many[1 - own] - 1))).alias(names[1])
+        narrow = df.select(F.col("entity").alias("entity"), *columns, block)  # aliases: both sides may come from one table
+        # The number is given, since adaptive execution would join small partitions, whatever their work is.
+        sides.append(narrow.select("*", other).repartition(min(many[0] * many[1], 20_000), "x", "y"))
+    return sides[0].groupBy("x", "y").cogroup(sides[1].groupBy("x", "y")).applyInArrow(lambda left, right: pa.concat_tables(work(left, right)), schema)
+
+
+def _matrix(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    values = table.column(column).combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(kind)
+
+
+def _bands_met(left: np.ndarray, right: np.ndarray, budget: int) -> np.ndarray:
+    """Queries x entities: how many bands are within budget bits of each other."""
+    met = np.zeros((len(left), len(right)), np.uint8)
+    for j in range(left.shape[1]):
+        met += np.bitwise_count(left[:, j, None] ^ right[None, :, j]) <= budget
+    return met
+
+
+def candidate_pairs(encoded: DataFrame, radius: int, entities: DataFrame | None = None) -> DataFrame:
+    """(query, entity, score): the candidates of every row of encoded, all of them, among entities (encoded unless given)."""
+
+    def work(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
+        yield pa.table({"query": pa.array([], pa.int64()), "entity": pa.array([], pa.int64()), "score": pa.array([], pa.int32())})
+        if not left.num_rows or not right.num_rows:
+            return
+        a, b = _matrix(left, "bands", np.uint16), _matrix(right, "bands", np.uint16)
+        one, other = left.column("entity").to_numpy(), right.column("entity").to_numpy()
+        step = max(1, CELL // len(b))
+        for i in range(0, len(a), step):
+            met = _bands_met(a[i : i + step], b, radius // a.shape[1])
+            x, y = np.nonzero(met)
+            yield pa.table({"query": one[i + x], "entity": other[y], "score": met[x, y].astype(np.int32)})
+
+    return _cells(encoded, encoded if entities is None else entities, work, "query long, entity long, score int", PAIR_ROWS, F.col("bands").alias("bands"))
+
+
+def search_rows(encoded: DataFrame, k: int, radius: int | None, entities: DataFrame | None = None) -> DataFrame:
+    """(query, entity, dot): for every row of encoded the k best of its candidates (of all entities without radius), in the order of `rerank`."""
+
+    def work(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
+        yield pa.table({"query": pa.array([], pa.int64()), "entity": pa.array([], pa.int64()), "dot": pa.array([], pa.int64()), "key": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return
+        right = right.sort_by("entity")
+        a, b = _matrix(left, "bands", np.uint16), _matrix(right, "bands", np.uint16)
+        wide = np.float32 if len(right.column("q")[0]) * 127 * 127 < 1 << 24 else np.float64  # dot products stay exact
+        p, q = _matrix(left, "q", wide), _matrix(right, "q", wide)
+        norm = np.floor(np.sqrt((q.astype(float) ** 2).sum(axis=1)))
+        one, other = left.column("entity").to_numpy(), right.column("entity").to_numpy()
+        step = max(1, CELL // len(b))
+        for i in range(0, len(a), step):
+            dot = p[i : i + step] @ q.T
+            key = np.where(norm > 0, dot / np.maximum(norm, 1), -1e300)  # zero vectors last
+            if radius is not None:
+                key[_bands_met(a[i : i + step], b, radius // a.shape[1]) == 0] = -np.inf
+            least = np.partition(key, -k, axis=1)[:, -k] if key.shape[1] > k else np.full(len(key), -np.inf)
+            x, y = np.nonzero((key >= least[:, None]) & (key > -np.inf))
+            order = np.lexsort((y, -key[x, y], x))
+            x, y = x[order], y[order]
+            keep = np.arange(len(x)) - np.searchsorted(x, x) < k
+            x, y = x[keep], y[keep]
+            yield pa.table({"query": one[i + x], "entity": other[y], "dot": dot[x, y].astype(np.int64), "key": key[x, y]})
+
+    best = _cells(encoded, encoded if entities is None else entities, work, "query long, entity long, dot long, key double", BLOCK_ROWS, F.col("bands").alias("bands"), F.col("q").cast("array<tinyint>").alias("q"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("key"), "entity"))
+    return best.withColumn("place", place).where(F.col("place") <= k).select("query", "entity", "dot")

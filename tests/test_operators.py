@@ -82,3 +82,56 @@ def test_vectors(spark):
     exact = np.argsort(-(x @ x[0]) / np.linalg.norm(x, axis=1))[:10].tolist()
     assert len(set(got) & set(exact)) >= 9 and set(got[:2]) == {0, 1}
     assert vector.vector_search(encoded, q.bands, q.q, 5).first()["entity"] in (0, 1)
+
+
+def _unit(seed, n, d):
+    x = np.random.default_rng(seed).normal(size=(n, d)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_search_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK_ROWS", (50, 60))  # several blocks
+    x = np.concatenate([_unit(5, 150, 32), np.zeros((1, 32), np.float32)])
+    x[7] = x[3]
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    encoded = vector.encode(df, "id", "v", vector.fit_basis(df, "v", 32))
+    some = encoded.where("entity % 2 = 0")
+    for entities in (None, some):
+        pairs, found, every = {}, {}, {}
+        for r in vector.candidate_pairs(encoded, 8, entities).collect():
+            pairs.setdefault(r.query, set()).add((r.entity, r.score))
+        for got, radius in ((found, 8), (every, None)):
+            for r in vector.search_rows(encoded, 5, radius, entities).collect():
+                got.setdefault(r.query, set()).add((r.entity, r.dot))
+        assert len(every) == 151
+        pool = encoded if entities is None else some
+        for r in encoded.where("entity in (0, 9, 21, 300, 450)").collect():
+            near = vector.candidates(vector.band_table(pool), r.bands, None, 8)
+            assert pairs.get(r.entity, set()) == {tuple(c) for c in near.collect()}
+            assert found.get(r.entity, set()) == {tuple(c) for c in vector.rerank(pool, r.q, near, 5).collect()}
+            assert every[r.entity] == {tuple(c) for c in vector.rerank(pool, r.q, pool.select("entity"), 5).collect()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_search_finds_the_nearest(spark, sf):
+    from corollary.queries import QUERIES
+
+    data = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in data], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in data])
+    truth = ids[np.argpartition(-(x @ x.T), 10, axis=1)[:, :10]]
+    want = {(int(q), int(e)) for q, own in zip(ids, truth, strict=True) for e in own}
+    for name in ("vector_search", "int8_rerank"):
+        got = QUERIES[name](spark, f"/root/testdata/{sf}").collect()
+        assert len({r.query for r in got}) == len(ids)
+        assert len({(r.query, r.entity) for r in got} & want) >= 0.9 * len(want), name
+
+
+def test_search_keeps_all_candidates(spark):
+    # The best match by dot product meets in one band only and so comes after many worse ones by bands matched.
+    low = [(i, [0, 0], [1, 0]) for i in range(1, 30)]
+    encoded = spark.createDataFrame([(0, [0, 0], [100, 100]), *low, (99, [0, 255], [90, 90])], "entity long, bands array<int>, q array<int>")
+    assert [r.entity for r in vector.vector_search(encoded, [0, 0], [100, 100], 2, 0).collect()] == [0, 99]
+    lexical = spark.createDataFrame([(99,), (5,)], "entity long")
+    assert [r.entity for r in vector.hybrid_search(encoded, lexical, [0, 0], [100, 100], 2, 0).collect()] == [99, 5]
