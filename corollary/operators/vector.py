@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import scratch
+
 BAND_BITS = 16
 
 
@@ -22,22 +24,55 @@ class Basis:
     scale: float
 
 
-def fit_basis(vectors: DataFrame, column: str, bits: int, sample: int = 4096, rounds: int = 50, seed: int = 42) -> Basis:
-    """Iterative quantisation, fitted at the driver on at most `sample` vectors, chosen by a hash of their values."""
-    rows = vectors.select(column).orderBy(F.xxhash64(column), column).limit(sample).collect()
-    x = np.array([r[0] for r in rows], float)
-    _, vec = np.linalg.eigh(x.T @ x)
-    if bits > x.shape[1]:
+def _totals(blocks: DataFrame, work: Callable[[np.ndarray], tuple[np.ndarray, float]]) -> tuple[np.ndarray, float]:
+    """Sum of the matrices and maximum of the numbers that work makes of all blocks, added up on the executors."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, most = None, 0.0
+        for b in batches:
+            for raw, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                own, top = work(np.frombuffer(raw.as_buffer(), np.float64).reshape(n, -1))
+                total, most = own if total is None else total + own, max(most, top)
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([most])], names=["total", "most"])
+
+    parts = blocks.mapInArrow(partial, "total binary, most double").rdd.map(lambda r: (np.frombuffer(r[0]), r[1]))
+    total, most = parts.treeReduce(lambda a, b: (a[0] + b[0], max(a[1], b[1])))
+    side = round(len(total) ** 0.5)
+    return total.reshape(side, side), most
+
+
+def fit_basis(vectors: DataFrame, column: str, bits: int, rounds: int = 50, seed: int = 42) -> Basis:
+    """Iterative quantisation, fitted on all vectors: the driver gets sums of dimensions x dimensions only."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), float)
+            if len(x):
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()), pa.array([len(x)])], names=["block", "n"])
+
+    # The rounds read packed blocks.
+    packed = vectors.select(column).where(F.col(column).isNotNull()).mapInArrow(pack, "block binary, n long")
+    table = scratch.write(packed, "vectors")
+    if not table.rows:
+        raise ValueError("no vectors")
+    blocks = table.df(vectors.sparkSession)
+    gram, most = _totals(blocks, lambda x: (x.T @ x, float(np.abs(x).max())))
+    _, vec = np.linalg.eigh(gram)
+    if bits > len(gram):
         raise ValueError("no more bits than dimensions")
     lead = vec[:, ::-1][:, :bits]
     # Signs of eigenvectors are free: fix them, so that a fit can be repeated.
     lead *= np.where(np.abs(lead).max(axis=0) == lead.max(axis=0), 1, -1)
-    v = x @ lead
     rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
     for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.sign(v @ rotation).T @ v)
+        now = rotation
+        turned, _ = _totals(blocks, lambda x, r=now: (np.sign(x @ lead @ r).T @ (x @ lead), 0.0))
+        u, _, w = np.linalg.svd(turned)
         rotation = (u @ w).T
-    return Basis(lead @ rotation, float(127 / max(np.abs(x).max(), 1e-12)))
+        if np.abs(rotation - now).max() < 1e-12:  # no later round would change it
+            break
+    return Basis(lead @ rotation, float(127 / max(most, 1e-12)))
 
 
 def signature_bands(vector: Column, basis: Basis) -> Column:

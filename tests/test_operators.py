@@ -135,3 +135,20 @@ def test_search_keeps_all_candidates(spark):
     assert [r.entity for r in vector.vector_search(encoded, [0, 0], [100, 100], 2, 0).collect()] == [0, 99]
     lexical = spark.createDataFrame([(99,), (5,)], "entity long")
     assert [r.entity for r in vector.hybrid_search(encoded, lexical, [0, 0], [100, 100], 2, 0).collect()] == [99, 5]
+
+
+def test_basis_of_all_vectors(spark):
+    # Few large vectors among many: a sample of 4096 misses most of them.
+    x = _unit(6, 6000, 8).astype(float)
+    x[::1000] *= np.arange(2, 8)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    basis = vector.fit_basis(df, "v", 8, rounds=3)
+    assert np.isclose(basis.scale, 127 / np.abs(x).max())
+    _, vec = np.linalg.eigh(x.T @ x)
+    lead = vec[:, ::-1]
+    lead = lead * np.where(np.abs(lead).max(axis=0) == lead.max(axis=0), 1, -1)
+    turn, _ = np.linalg.qr(np.random.default_rng(42).normal(size=(8, 8)))
+    for _ in range(3):
+        u, _, w = np.linalg.svd(np.sign(x @ lead @ turn).T @ (x @ lead))
+        turn = (u @ w).T
+    assert np.allclose(basis.matrix, lead @ turn, atol=1e-6)
