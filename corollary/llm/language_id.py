@@ -1,9 +1,10 @@
 """Language spans of mixed-language text.
 
-The script of a word's letters narrows its candidates (a word in Thai letters is Thai; one in Latin
-letters may be any of the trained languages). Where several remain, a word's score for a language is
-the log-probability of its letter sequences of 1 to 5 bytes, word edges included, under that
-language's counts. Viterbi over the words of a text, with a penalty for each change of language,
+Words are split where the script changes (digits and combining marks have none; Han and kana side by side
+are one Japanese word), and a script narrows a word's candidates: the trained languages that have at least
+a share READS of their words in it, or one language by default where none has. Where several remain, a
+word's score for a language is the log-probability of its letter sequences of 1 to 5 bytes (1 to 9 in
+scripts of more bytes a letter), word edges included, under that language's counts. Viterbi over the words of a text, with a penalty for each change of language,
 labels them; runs of one label are spans.
 
 The counts come from at most `max_rows` rows of each language that the table labels, chosen by a hash
@@ -13,7 +14,7 @@ scores are then chained, which gives the same path as one pass over the text.
 
 Defined results: null and empty texts, and texts without a word, give one row of language 'und' from
 0 to 0; rows that share a doc_id are labelled one by one, repeated ones twice; a null doc_id is
-reported as null; null labels are not trained on; without any label Latin words are 'und'; ties go to the
+reported as null; null labels are not trained on; Latin words are 'und' where no language is trained on them; ties go to the
 language first in the alphabet; an empty table gives no row; further columns are ignored.
 """
 
@@ -32,8 +33,9 @@ from .common import id_text, need
 from .textops import U, Words, mix, pieces
 
 MAX_ROWS, BITS, SIZES, PENALTY, BLOCK = 400, 17, (1, 2, 3, 4, 5), 6.0, 32
+WIDE_SIZES, READS = (1, 2, 3, 4, 6, 8, 9), 0.05  # of letters of 2 and 3 bytes; least share of a language's words in a script
 
-#: (first code point, last, script). Latin is what is not listed.
+#: (first code point, last, language by default, which also names the script). Latin is what is not listed.
 SCRIPTS = (
     (0x0370, 0x03FF, "el"), (0x1F00, 0x1FFF, "el"), (0x0400, 0x052F, "ru"), (0x0530, 0x058F, "hy"), (0x0590, 0x05FF, "he"), (0x0600, 0x06FF, "ar"), (0x0750, 0x077F, "ar"),
     (0x0900, 0x097F, "hi"), (0x0980, 0x09FF, "bn"), (0x0B80, 0x0BFF, "ta"), (0x0C00, 0x0C7F, "te"), (0x0E00, 0x0E7F, "th"), (0x10A0, 0x10FF, "ka"), (0x1100, 0x11FF, "ko"),
@@ -44,28 +46,59 @@ _ORDER = np.argsort(_FIRST)
 OUTSIDE = -12.0  # score of a language that a word's script rules out: dear, but a lone foreign word may be borrowed
 
 
-def scripts(words: Words) -> np.ndarray:
-    """Of each word the place in SCRIPTS of its first letter's script, or -1 for Latin."""
-    out = np.full(len(words.start), -1, np.int64)
-    lead = words.data[words.start] if len(words.start) else np.zeros(0, np.uint8)
-    far = np.flatnonzero(lead >= 0xCD)
-    if len(far):
-        s, data, n = words.start[far], words.data, len(words.data)
-        at = lambda k: data[np.minimum(s + k, n - 1)].astype(np.int64) & 0x3F
-        b = lead[far].astype(np.int64)
-        code = np.where(b < 0xE0, ((b & 0x1F) << 6) | at(1), np.where(b < 0xF0, ((b & 0x0F) << 12) | (at(1) << 6) | at(2), ((b & 0x07) << 18) | (at(1) << 12) | (at(2) << 6) | at(3)))
-        k = np.searchsorted(_FIRST[_ORDER], code, "right") - 1
-        place = _ORDER[np.maximum(k, 0)]
-        out[far] = np.where((k >= 0) & (code <= np.array([x[1] for x in SCRIPTS])[place]), place, -1)
-    return out
+DEFAULTS = sorted({s[2] for s in SCRIPTS})
+_SCRIPT = np.array([DEFAULTS.index(s[2]) for s in SCRIPTS])
+_HAN, _KANA = DEFAULTS.index("zh"), DEFAULTS.index("ja")
 
 
-def letter_runs(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_scripts(words: Words) -> np.ndarray:
+    """Splits the words, in place, where the script changes; of each the script's place in DEFAULTS, or -1 for Latin."""
+    far = np.concatenate([[0], np.cumsum(words.data >= 0xCD)])
+    mixed = far[words.end] > far[words.start]
+    hit = np.flatnonzero(mixed)
+    if not len(hit):
+        return np.full(len(words.start), -1, np.int64)
+    data, lens = words.data, (words.end - words.start)[hit]
+    pos = np.repeat(words.start[hit] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+    lead = (data[pos] & 0xC0) != 0x80
+    pos, word = pos[lead], np.repeat(hit, lens)[lead]
+    at = lambda k: data[np.minimum(pos + k, len(data) - 1)].astype(np.int64) & 0x3F
+    b = data[pos].astype(np.int64)
+    code = np.select([b < 0x80, b < 0xE0, b < 0xF0], [b, ((b & 0x1F) << 6) | at(1), ((b & 0x0F) << 12) | (at(1) << 6) | at(2)], ((b & 0x07) << 18) | (at(1) << 12) | (at(2) << 6) | at(3))
+    k = np.searchsorted(_FIRST[_ORDER], code, "right") - 1
+    place = _ORDER[np.maximum(k, 0)]
+    own = np.where((k >= 0) & (code <= np.array([x[1] for x in SCRIPTS])[place]), _SCRIPT[place], -1)
+    kana = own == _KANA
+    own[kana] = _HAN
+    # What has no script goes with the letter before it in the word, or else with the next one.
+    none = ((code >= 48) & (code <= 57)) | ((code >= 0x300) & (code <= 0x36F))
+    here = np.arange(len(pos))
+    before = np.maximum.accumulate(np.where(none, -1, here))
+    after = np.minimum.accumulate(np.where(none, len(pos), here)[::-1])[::-1]
+    before = np.where((before >= 0) & (word[np.maximum(before, 0)] == word), before, -1)
+    after = np.where((after < len(pos)) & (word[np.minimum(after, len(pos) - 1)] == word), after, -1)
+    source = np.where(before >= 0, before, after)
+    own = np.where(source >= 0, own[source], -1)
+    head = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (own[1:] != own[:-1])))
+    start = pos[head]
+    last = np.append(word[head][1:] != word[head][:-1], True)
+    end = np.where(last, words.end[word[head]], np.append(start[1:], 0))
+    script = np.where(np.logical_or.reduceat(kana, head), _KANA, own[head])
+    start, end = np.concatenate([words.start[~mixed], start]), np.concatenate([words.end[~mixed], end])
+    script = np.concatenate([np.full(int((~mixed).sum()), -1, np.int64), script])
+    order = np.argsort(start, kind="stable")
+    words.start, words.end = start[order], end[order]
+    words.off = np.searchsorted(words.start, words.text_off)
+    words.h = words.hash_bytes(words.start, words.end)
+    return script[order]
+
+
+def letter_runs(words: Words, chosen: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
     """For the chosen words: the index (in chosen) and hashed place of each byte sequence, those at the edges marked as such."""
     start, end = words.start[chosen], words.end[chosen]
     n = end - start
     who, place = [], []
-    for size in SIZES:
+    for size in sizes:
         many = np.maximum(n - size + 1, 0)
         row = np.repeat(np.arange(len(chosen)), many)
         off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
@@ -80,18 +113,20 @@ def letter_runs(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class LanguageModel:
     names: list[str]  # trained languages, in order
     table: np.ndarray  # places x languages: log-probability above the mean of the languages
+    reads: np.ndarray  # scripts (DEFAULTS, then Latin) x languages: whether the script is one of the language's
 
-    def word_scores(self, words: Words) -> np.ndarray:
+    def word_scores(self, words: Words, script: np.ndarray) -> np.ndarray:
         """Words x languages; equal words are scored once."""
         if not len(words.h):
             return np.zeros((0, len(self.names)))
         _, first, back = np.unique(words.h, return_index=True, return_inverse=True)
         out = np.zeros((len(first), len(self.names)))
         for a in range(0, len(first), 20_000):
-            own = first[a : a + 20_000]
-            who, place = letter_runs(words, own)
-            for j in range(len(self.names)):
-                out[a : a + len(own), j] = np.bincount(who, self.table[place, j], len(own))
+            part = first[a : a + 20_000]
+            for at, sizes in ((np.flatnonzero(script[part] < 0), SIZES), (np.flatnonzero(script[part] >= 0), WIDE_SIZES)):
+                who, place = letter_runs(words, part[at], sizes)
+                for j in range(len(self.names)):
+                    out[a + at, j] = np.bincount(who, self.table[place, j], len(at))
         n = np.maximum(1, words.end[first] - words.start[first])[:, None]
         return (out / np.sqrt(n))[back.ravel()]
 
@@ -108,29 +143,34 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel | None:
     rows = base.withColumn("th", F.xxhash64("text")).join(F.broadcast(chosen.withColumnsRenamed({"doc_id": "d", "th": "h", "lang": "l"})), F.expr("doc_id <=> d and th = h and lang = l"), "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, np.ndarray] = {}  # places, then words by script
         for b in pieces(batches):
             words = Words(b.column(1))
-            keep = np.flatnonzero(scripts(words) < 0)
-            if not len(keep):
-                continue
-            who, place = letter_runs(words, keep)
-            lang = np.array(b.column(0).to_pylist(), object)[np.searchsorted(words.off, keep, "right") - 1][who]
-            for n in set(lang.tolist()):
-                held.setdefault(n, np.zeros(1 << BITS, np.int64))
-                held[n] += np.bincount(place[lang == n], minlength=1 << BITS)
+            script = split_scripts(words)
+            name = np.array(b.column(0).to_pylist(), object)[words.doc()]
+            for keep, sizes in ((np.flatnonzero(script < 0), SIZES), (np.flatnonzero(script >= 0), WIDE_SIZES)):
+                if not len(keep):
+                    continue
+                who, place = letter_runs(words, keep, sizes)
+                lang = name[keep]
+                for n in set(lang.tolist()):
+                    own = held.setdefault(n, np.zeros((1 << BITS) + len(DEFAULTS) + 1, np.int64))
+                    own[: 1 << BITS] += np.bincount(place[(lang == n)[who]], minlength=1 << BITS)
+                    own[1 << BITS :] += np.bincount(script[keep[lang == n]] % (len(DEFAULTS) + 1), minlength=len(DEFAULTS) + 1)
         if held:
             yield pa.record_batch([pa.array(list(held)), pa.array([c.astype("<i8").tobytes() for c in held.values()], pa.binary())], names=["lang", "counts"])
 
-    counts = {n: np.zeros(1 << BITS) for n in names}
+    counts, used = {n: np.zeros(1 << BITS) for n in names}, {n: np.zeros(len(DEFAULTS) + 1) for n in names}
     for r in rows.coalesce(4).mapInArrow(count, "lang string, counts binary").collect():
-        counts[r[0]] += np.frombuffer(r[1], "<i8")
+        got = np.frombuffer(r[1], "<i8")
+        counts[r[0]] += got[: 1 << BITS]
+        used[r[0]] += got[1 << BITS :]
     names = [n for n in names if counts[n].sum()]
     if not names:
         return None
     p = np.stack([np.log((counts[n] + 0.5) / (counts[n].sum() + 0.5 * (1 << BITS))) for n in names], axis=1)
     seen = sum(counts[n] for n in names) > 0
-    return LanguageModel(names, ((p - p.mean(axis=1, keepdims=True)) * seen[:, None]).astype(np.float32))
+    return LanguageModel(names, ((p - p.mean(axis=1, keepdims=True)) * seen[:, None]).astype(np.float32), np.stack([used[n] >= READS * used[n].sum() for n in names], axis=1))
 
 
 def viterbi(score: np.ndarray, off: np.ndarray, penalty: float, block: int = BLOCK) -> np.ndarray:
@@ -203,24 +243,24 @@ def viterbi(score: np.ndarray, off: np.ndarray, penalty: float, block: int = BLO
     return label
 
 
-def _emissions(words: Words, model: LanguageModel | None) -> tuple[np.ndarray, list[str]]:
+def _emissions(words: Words, script: np.ndarray, model: LanguageModel | None) -> tuple[np.ndarray, list[str]]:
     """Scores of the words for the languages that these texts can be in."""
-    script = scripts(words)
-    latin = model.names if model else ["und"]
-    others = sorted({SCRIPTS[s][2] for s in np.unique(script[script >= 0])})
-    names = sorted({*latin, *others})
+    trained = model.names if model else []
+    present = np.unique(script).tolist()
+    readers = {s: np.flatnonzero(model.reads[s]).tolist() if model else [] for s in present}
+    names = sorted({*trained, *(DEFAULTS[s] if s >= 0 else "und" for s in present if not readers[s]), *(() if trained else ("und",))})
     score = np.full((len(words.h), len(names)), OUTSIDE)
-    is_latin = script < 0
-    if model:
-        own = model.word_scores(words)
-        for j, n in enumerate(model.names):
-            score[is_latin, names.index(n)] = own[is_latin, j]
-    else:
-        score[is_latin, names.index("und")] = 0
-    for s in np.unique(script[script >= 0]):
-        score[script == s, names.index(SCRIPTS[s][2])] = 0
-    if others and {"ja", "zh"} <= set(names):  # Han letters are also Japanese
-        score[np.isin(script, [i for i, s in enumerate(SCRIPTS) if s[2] == "zh"]), names.index("ja")] = -1
+    own = model.word_scores(words, script) if model else None
+    for s in present:
+        at = np.flatnonzero(script == s)
+        if readers[s]:
+            value = own[np.ix_(at, readers[s])]
+            # Outside Latin the best is 0, as for a language by default.
+            score[np.ix_(at, [names.index(trained[j]) for j in readers[s]])] = value if s < 0 else value - value.max(axis=1, keepdims=True)
+        else:
+            score[at, names.index(DEFAULTS[s] if s >= 0 else "und")] = 0
+        if s == _HAN and "ja" in names and "ja" not in trained:  # Han letters are also Japanese
+            score[at, names.index("ja")] = -1
     return score, names
 
 
@@ -232,23 +272,23 @@ def language_spans(docs: DataFrame, max_rows: int = MAX_ROWS, penalty: float = P
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1 << 20):
             words = Words(b.column(1))
-            score, names = _emissions(words, shared.value)
+            script = split_scripts(words)
+            score, names = _emissions(words, script, shared.value)
             got = viterbi(score, words.off, penalty)
             doc = words.doc()
-            original = Words(b.column(1), fold=False, hashed=False)
             n = len(got)
             head = np.flatnonzero(np.append(True, (got[1:] != got[:-1]) | (doc[1:] != doc[:-1]))) if n else np.zeros(0, np.int64)
             tail = np.append(head[1:], n) - 1 if n else head
-            # Code points before each byte of the batch, less those before the row.
-            points = np.concatenate([[0], np.cumsum((original.data & 0xC0) != 0x80)])
-            base = points[original.text_off[doc[head]]]
+            # Code points before each byte of the batch, less those before the row; folding keeps their number.
+            points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+            base = points[words.text_off[doc[head]]]
             empty = np.flatnonzero(np.diff(words.off) == 0)
             row = np.concatenate([doc[head], empty])
             zero = np.zeros(len(empty), np.int64)
             order = np.argsort(row, kind="stable")
             columns = [
-                np.concatenate([points[original.start[head]] - base, zero]).astype(np.int32),
-                np.concatenate([points[original.end[tail]] - base, zero]).astype(np.int32),
+                np.concatenate([points[words.start[head]] - base, zero]).astype(np.int32),
+                np.concatenate([points[words.end[tail]] - base, zero]).astype(np.int32),
             ]
             lang = np.array([*names, "und"], object)[np.concatenate([got[head], zero + len(names)]).astype(np.int64)]
             yield pa.record_batch(

@@ -368,6 +368,31 @@ def test_private_spans(spark):
 # 10 Language
 
 
+def test_languages_that_share_a_script(spark):
+    rng = random.Random(5)
+    vocab = {
+        "en": "the and with house water there think".split(),
+        "ru": "привет мир как дела сегодня этот был чтобы рыба".split(),
+        "uk": "привіт світ як справи сьогодні цей був щоб їжа".split(),
+        "ar": "في من على هذا كان التي الى".split(),
+        "fa": "در از به این است که برای گفت".split(),
+        "hi": "है और में यह नहीं था लिए".split(),
+        "mr": "आहे आणि मध्ये हे नाही होता साठी".split(),
+    }
+    say = lambda lang, n: " ".join(rng.choice(vocab[lang]) for _ in range(n))
+    rows = [(i, say(lang, 30), lang) for i, lang in enumerate(list(vocab) * 8)]
+    text = {100: f"{say('en', 12)} {say('uk', 15)} {say('ru', 15)}", 101: "東京は大きい。京都は古い。日本語を話す。", 102: "我们今天去北京。天气很好。", 103: "Apple製品 ok", 104: "covid19 корп2 abcпривет"}
+    df = spark.createDataFrame(rows + [(d, t, None) for d, t in text.items()], "doc_id long, text string, lang string")
+    out = language_id.language_spans(df).collect()
+    held = [r for r in out if r.doc_id < 100]
+    assert sum(r.n_words for r in held if r.lang == rows[r.doc_id][2]) >= 0.98 * sum(r.n_words for r in held)
+    got = {d: sorted((r.start, r.end, r.lang, r.n_words) for r in out if r.doc_id == d) for d in text}
+    assert [(x[2], x[3]) for x in got[100]] == [("en", 12), ("uk", 15), ("ru", 15)]
+    assert [(x[2], x[3]) for x in got[101]] == [("ja", 3)] and [x[2] for x in got[102]] == ["zh"]
+    assert sum(x[3] for x in got[103]) == 3 and sum(x[3] for x in got[104]) == 4
+
+
+
 def test_viterbi():
     rng = np.random.default_rng(1)
     for _ in range(60):
