@@ -365,6 +365,19 @@ def test_private_spans(spark):
     assert pii.find_private(df.where("false")).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    rng = random.Random(4)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = {256: pick("0123456789abcdef", 256), 1600: "sk" + pick(b64, 1598), 201: pick("0123456789abcdef", 201), 120: pick("abcdefghijk", 80) + pick("0123456789", 40)}
+    for n, key in keys.items():
+        assert ("secret", 6, 6 + n) in pii.candidates(f"token {key} end"), n
+    docs = [(i, f"token = {pick('0123456789abcdef', 40)} end") for i in range(40)] + [(n, f"token = {key} end") for n, key in keys.items() if n in (256, 1600)]
+    got = {(r.doc_id, r.start, r.end) for r in pii.find_private(spark.createDataFrame(docs, DOCS)).collect() if r.kind == "secret"}
+    assert {(256, 8, 264), (1600, 8, 1608)} <= got
+    assert pii.candidates("x" * 3_000_000, ("secret",)) == []  # in linear time
+
+
 # 10 Language
 
 
