@@ -1,10 +1,11 @@
-"""Intermediate tables in the shared folder: they cut lineage and outlive any executor."""
+"""Intermediate tables in the shared folder: they cut lineage and outlive any executor.
+
+Each application has one folder of its own below the shared one; it goes when the application ends, and what
+is known to be no longer read goes earlier (`drop`).
+"""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -12,19 +13,56 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_own: str | None = None
+_folders: dict[str, str] = {}  # by application
 
 
-def root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
-    global _own
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+class NoSharedFolder(RuntimeError):
+    pass
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir (or setCheckpointDir) names; one of our own only in local mode without either."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = given.get() if given.isDefined() else None
     if where:
         return where.rstrip("/")
-    if _own is None or not os.path.isdir(_own):
-        _own = tempfile.mkdtemp(prefix="corollary-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return f"file://{_own}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise NoSharedFolder("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='corollary-')}"
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def root(spark: SparkSession) -> str:
+    """This application's folder, made on first use; the file system deletes it when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        folder = f"{shared(spark)}/corollary-{app}-{uuid.uuid4().hex[:8]}"
+        fs, p = _path(spark, folder)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _folders[app] = folder
+    return _folders[app]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; DataFrames that read them can't be used any more."""
+    folder = _folders.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        fs, p = _path(spark, folder)
+        fs.delete(p, True)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing will read again."""
+    for path in paths:
+        fs, p = _path(spark, path)
+        fs.delete(p, True)
 
 
 @dataclass
@@ -42,10 +80,10 @@ class Table:
         return Table(self.schema, [*self.paths, *other.paths], self.rows + other.rows)
 
 
-def write(df: DataFrame, name: str) -> Table:
-    """Writes df once; the rows are counted as they go by."""
+def write(df: DataFrame, name: str, folder: str | None = None) -> Table:
+    """Writes df once, into the scratch folder unless another is given; the rows are counted as they go by."""
     spark = df.sparkSession
-    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or root(spark)}/{name}-{uuid.uuid4().hex}"
     seen = Observation(f"rows-{uuid.uuid4().hex}")
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return Table(df.schema, [path], int(seen.get["n"]))
