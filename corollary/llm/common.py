@@ -3,27 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import scratch
+
 #: A join side is broadcast only when it has been counted and has at most so many rows of a few longs.
 BROADCAST_ROWS = 1_000_000
 
-_own_dir: str | None = None
-
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where that is unset (tests)."""
-    global _own_dir
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if _own_dir is None or not os.path.isdir(_own_dir):
-        _own_dir = tempfile.mkdtemp(prefix="corollary-")
-    return "file://" + _own_dir
+    """This application's folder below the shared one that spark.checkpoint.dir names."""
+    return scratch.root(spark)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -31,7 +24,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in staged:
+        scratch.drop(df.sparkSession, df.staged_at)
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Gives a file of the driver to all executors; its name, for `shipped`."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
+def shipped(path: str) -> str:
+    """Where a file given by `ship` is on this machine."""
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -4,11 +4,14 @@ A word is a maximal run of ASCII letters and digits and of non-ASCII characters
 Latin-1 signs, general punctuation (U+2000-U+203F) and CJK punctuation (U+3000-U+303F), after
 simple case folding. Folding maps one code point to one code point and never turns a word
 character into a separator, so word ordinals of the folded and of the original text agree.
-Words become 64-bit hashes by a prefix-sum polynomial: no Python object is made per word.
+Words become 64-bit hashes, eight bytes at a time through a bijective mixer: no Python object is made
+for a word of up to LONG bytes. Different words of up to eight bytes never share a hash by construction
+of their letters alone, and longer ones only by chance; whoever needs certainty compares bytes (`same`).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,8 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_CHUNK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)  # the first i bytes of eight
+LONG = 256
 _pw = np.ones(1, U)
 _ipw = np.ones(1, U)
 
@@ -74,10 +79,53 @@ def word_mask(data: np.ndarray) -> np.ndarray:
     return mask
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number (zeros beyond the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hash_ranges(data: np.ndarray, eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges."""
+    left = end - start
+    h = left.astype(U) * U(0xD6E8FEB86659FD93)
+    live: np.ndarray | None = None
+    far = np.flatnonzero(left > LONG) if len(left) and left.max() > LONG else ()
+    if len(far):
+        left = left.copy()
+        left[far] = 0
+    k = 0
+    while True:
+        if live is None:
+            h = mix(h ^ (eight[start] & _CHUNK[np.minimum(left, 8)]))
+        else:
+            h[live] = mix((h[live] + U(k)) ^ (eight[start[live] + 8 * k] & _CHUNK[np.minimum(left[live] - 8 * k, 8)]))
+        k += 1
+        live = np.flatnonzero(left > 8 * k) if live is None else live[left[live] > 8 * k]
+        if not len(live):
+            break
+    for i in far:
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same(eight: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bytes from start on equal those from `at` on in other; both are eights()."""
+    out = np.ones(len(start), bool)
+    live, k = np.flatnonzero(size > 0), 0
+    while len(live):
+        differ = (eight[start[live] + 8 * k] ^ other[at[live] + 8 * k]) & _CHUNK[np.minimum(size[live] - 8 * k, 8)]
+        out[live[differ != 0]] = False
+        k += 1
+        live = live[(differ == 0) & (size[live] > 8 * k)]
+    return out
+
+
 class Words:
     """Words of a string array: off[i]:off[i + 1] are those of row i; start, end: their bytes; h: their hashes."""
 
-    __slots__ = ("data", "end", "h", "off", "prefix", "start", "text_off")
+    __slots__ = ("data", "eight", "end", "h", "off", "start", "text_off")
 
     def __init__(self, arr: pa.Array, fold: bool = True, hashed: bool = True):
         data, toff = buffers(arr)
@@ -100,16 +148,13 @@ class Words:
         self.start = np.flatnonzero(mask & ~before)
         self.end = np.flatnonzero(mask & ~after) + 1
         self.off = np.searchsorted(self.start, toff)
-        self.h = self.prefix = None
+        self.h = self.eight = None
         if hashed:
-            pw, ipw = powers(n + 1)
-            self.prefix = np.zeros(n + 1, U)
-            np.cumsum((data.astype(U) + U(1)) * pw[:n], out=self.prefix[1:])
+            self.eight = eights(data)
             self.h = self.hash_bytes(self.start, self.end)
 
     def hash_bytes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, ipw = powers(len(self.prefix))
-        return mix((self.prefix[end] - self.prefix[start]) * ipw[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        return hash_ranges(self.data, self.eight, start, end)
 
     def doc(self) -> np.ndarray:
         """The row of each word."""

@@ -1,9 +1,11 @@
 """Token ids of texts, by a given subword vocabulary, with the ids of recent words at hand.
 
 The vocabulary's pieces don't cross a single space between words, so a text's ids are those of its
-words one after the other. A worker keeps the ids of words it has met in a table of SLOTS places, found
-by the words' 64-bit hashes without making Python objects. A text with other white space (runs of
-spaces, spaces at its ends, tabs, non-breaking ones and so on) counts as one word and is encoded whole.
+words one after the other. A worker keeps the ids and bytes of words it has met in a table of 2**SLOT_BITS
+places, found by the words' 64-bit hashes without making Python objects; ids are shared only by words
+whose bytes are equal, whatever their hashes. Words of more than LONG bytes are encoded one by one. A text
+with other white space (runs of spaces, spaces at its ends, tabs, non-breaking ones and so on) counts as
+one word and is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .textops import U, buffers, mix, powers
+from .common import shipped
+from .textops import U, buffers, eights, hash_ranges, same
 
 TOKENIZER = os.environ.get("COROLLARY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
-SLOT_BITS, LONG, MOST_IDS = 20, 64, 1 << 24
+SLOT_BITS, LONG, MOST_IDS = 20, 64, 1 << 24  # MOST_IDS: ids or bytes kept before the table is emptied
 
 _workers: dict[str, Encoder] = {}
 
@@ -42,7 +45,7 @@ class Encoder:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=shipped(path))
         if self.model.get_piece_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self._clear()
@@ -51,6 +54,8 @@ class Encoder:
         self.key = np.zeros(1 << SLOT_BITS, U)
         self.at, self.n = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int32)
         self.ids, self.used = np.zeros(1 << 16, "<u2"), 0
+        self.size, self.place = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+        self.bytes, self.held = np.zeros(1 << 16, np.uint8), 0
 
     def _add(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Appends the ids of words; where they begin, and how many they are."""
@@ -64,10 +69,20 @@ class Encoder:
         self.used += len(new)
         return at, n
 
+    def _keep(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Appends the bytes of words; where they begin."""
+        total = int(size.sum())
+        if self.held + total + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), total + 8), np.uint8)])
+        to = self.held + np.cumsum(size) - size
+        self.bytes[self.held : self.held + total] = data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)]
+        self.held += total
+        return to
+
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word: where its ids begin and how many they are; for each text: the words before it."""
         data, off = buffers(texts)
-        if self.used > MOST_IDS:
+        if max(self.used, self.held) > MOST_IDS:
             self._clear()
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(len(off), np.int64)
@@ -83,23 +98,32 @@ class Encoder:
         start = np.flatnonzero(begins[:-1])
         end = np.append(start[1:], len(data))
         end -= split[end - 1]
-        pw, ipw = powers(len(data) + 1)
-        p = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * pw[: len(data)], out=p[1:])
-        h = mix((p[end] - p[start]) * ipw[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93)) | U(1)
+        size = end - start
+        eight = eights(data)
+        h = hash_ranges(data, eight, start, np.minimum(end, start + LONG)) | U(1)
         slot = (h >> U(64 - SLOT_BITS)).astype(np.int64)
-        hit = self.key[slot] == h
+        hit = (self.key[slot] == h) & (self.size[slot] == size)
+        known = np.flatnonzero(hit)
+        held = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
+        hit[known] = same(eight, start[known], size[known], held, self.place[slot[known]])
         at, n = self.at[slot], self.n[slot]
         miss = np.flatnonzero(~hit)
         if len(miss):
-            keys, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            chosen = miss[one]
+            _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            stands = miss[one][back]  # the word whose ids each one gets, if it is the same word
+            equal = (size[miss] == size[stands]) & (size[miss] <= LONG)
+            check = np.flatnonzero(equal)
+            equal[check] = same(eight, start[miss[check]], size[miss[check]], eight, start[stands[check]])
+            stands = np.where(equal, stands, miss)
+            chosen, back = np.unique(stands, return_inverse=True)
             raw = data.tobytes()
             a, m = self._add([raw[i:j].decode() for i, j in zip(start[chosen].tolist(), end[chosen].tolist(), strict=True)])
             at[miss], n[miss] = a[back], m[back]
-            keep = end[chosen] - start[chosen] <= LONG
-            s = slot[chosen[keep]]
-            self.key[s], self.at[s], self.n[s] = keys[keep], a[keep], m[keep]
+            keep = size[chosen] <= LONG
+            own = chosen[keep]
+            s = slot[own]
+            self.key[s], self.at[s], self.n[s], self.size[s] = h[own], a[keep], m[keep], size[own]
+            self.place[s] = self._keep(data, start[own], size[own])
         return at, n, np.searchsorted(start, off)
 
     def count(self, texts: pa.Array) -> np.ndarray:
