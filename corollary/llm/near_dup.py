@@ -9,12 +9,21 @@ J_P = sum over d of 1 / sum over d' of max(x_d' / x_d, y_d' / y_d).
 ROWS registers make a band; documents that share a band are candidates, all of them, and candidates
 are compared by their exact J_P. Documents of the same words (J_P = 1) are joined before banding.
 
-Every candidate pair is either compared or already joined through others, so the groups are the
-connected components of all candidate pairs with J_P >= threshold; nothing is capped.
 
-Defined results: null and empty texts, and texts without a word, have no shingle and stay alone;
-fewer than k words are one shingle; rows that share a doc_id are one document (any of its texts
-can link it); a null doc_id can't be named in a group and is left alone; an empty table gives none.
+What is compared and grouped are texts, not documents: a text is named by (d, t), the least doc_id that has
+it and the hash of that row's text. Rows whose texts have the same words share a text and are linked by it,
+however many they are. In each bucket (texts of one band) all are compared with the least one first; where
+that leaves more than one group in the bucket, every pair of texts across those groups is compared too. So
+every candidate pair is either compared or already joined through others, and the groups are the connected
+components of all candidate pairs with J_P >= threshold; nothing is capped. Buckets are counted and led by
+partial aggregates, so that a hot one is no task's alone; a text with very many partners is shared out.
+
+Defined results: null and empty texts, and texts without a word, have no shingle and stay alone; fewer
+than k words are one shingle, so they match equal ones only; a row is (doc_id, text): of rows that share a
+doc_id but not a text only those whose own text has a partner are in a group, and rows repeated as a whole
+are one; a null doc_id can't be named in a group and is left alone; of a group the least doc_id (then the
+least text hash) is kept, ties of similarity play no part; an empty table gives none; a text of any length
+is compared as a whole; further columns are carried along untouched by near_dedup, and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -23,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, n_partitions, need, small, stage
+from .common import fresh, id_text, n_partitions, need, release, small, stage
 from .textops import U, Words, mix, ngrams, pieces
 
 SHINGLE, REGISTERS, ROWS, THRESHOLD = 3, 160, 4, 0.5
@@ -88,7 +97,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, s1, s2, bands): a 128-bit hash of the sequence of words, and the keys of the bands."""
+    """(doc_id, th, s1, s2, bands): a hash of the text, a 128-bit one of the sequence of its words, and the keys of the bands."""
     bands = m // rows
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,102 +119,173 @@ def signatures(docs: DataFrame, k: int = SHINGLE, m: int = REGISTERS, rows: int
                 c = np.concatenate([[U(0)], np.cumsum(mix(words.h ^ mix(place + U(salt))))])
                 sums.append(mix(c[words.off[1:]] - c[words.off[:-1]] + np.diff(words.off).astype(U))[has].view(np.int64))
             yield pa.record_batch(
-                [b.column(0).take(pa.array(has)), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.ravel().view(np.int64)))],
-                names=["doc_id", "s1", "s2", "bands"],
+                [b.column(0).take(pa.array(has)), b.column(2).take(pa.array(has)), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.ravel().view(np.int64)))],
+                names=["doc_id", "th", "s1", "s2", "bands"],
             )
 
-    return id_text(docs).where("doc_id is not null and text is not null and text <> ''").mapInArrow(sketch, "doc_id long, s1 long, s2 long, bands array<long>")
+    hashed = id_text(docs).where("doc_id is not null and text is not null and text <> ''").withColumn("th", F.xxhash64("text"))
+    return hashed.mapInArrow(sketch, "doc_id long, th long, s1 long, s2 long, bands array<long>")
+
+
+TEXT = "struct<d: long, t: long>"
+
+
+def _text(d: str | Column, t: str | Column) -> Column:
+    d, t = (F.col(c) if isinstance(c, str) else c for c in (d, t))
+    return F.struct(d.alias("d"), t.alias("t"))
+
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) some texts of which have J_P >= threshold. Texts of a meet those of b in one sorted stream."""
+    """The pairs (a, b) of texts that have J_P >= threshold. Texts b meet their text a in one sorted stream."""
     spark = pairs.sparkSession
     pairs = stage(pairs, "pairs")
     n_pairs = pairs.count()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage(id_text(docs).where("text is not null").join(small(ids, 2 * n_pairs), "doc_id", "left_semi").distinct(), "texts")
-    # A document with very many partners is shared out over salts, so that no task has them all.
+    if not n_pairs:
+        return pairs
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x.d", "x.t")
+    rows = id_text(docs).where("text is not null").withColumn("th", F.xxhash64("text"))
+    texts = stage(rows.join(small(wanted, 2 * n_pairs), F.expr("doc_id = d and th = t"), "left_semi").select(_text("doc_id", "th").alias("x"), "text").dropDuplicates(["x"]), "texts")
+    # A text with very many partners is shared out over salts, so that no task has them all.
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("salts"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     salted = salted.join(load, "a").withColumn("salt", (F.col("salt") % F.col("salts")).cast("int"))
-    members = salted.join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", F.col("b"), "text")
-    leaders = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    stream = leaders.unionByName(members).repartition(n_partitions(spark), "a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
+    members = salted.join(texts, F.col("b") == F.col("x")).select("a", "salt", "b", "text")
+    leaders = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, F.col("a") == F.col("x")).select("a", "salt", F.lit(None).cast(TEXT).alias("b"), "text")
+    flat = [F.col(f"{c}.{f}").alias(f"{c}{f}") for c in "ab" for f in "dt"]
+    stream = leaders.unionByName(members).select(*flat[:2], "salt", *flat[2:], "text")
+    stream = stream.repartition(max(n_partitions(spark), n_pairs // 50_000), "ad", "at", "salt").sortWithinPartitions("ad", "at", "salt", F.col("bd").asc_nulls_first(), "bt")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lead = None, []
+        now, lead = None, None
         for b in pieces(batches, column="text"):
-            words = Words(b.column(3))
+            words = Words(b.column(5))
             doc, g, w = weighted_shingles(words, k)
             order = np.lexsort((g, doc))
             doc, g, w = doc[order], g[order], w[order]
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            good: tuple[list, list] = ([], [])
-            for i, (a, salt, other) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            good: list[int] = []
+            for i, (ad, at, salt, bd) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
                 own = (g[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]])
-                if now != (a, salt):
-                    now, lead = (a, salt), []
-                if other is None:
-                    lead.append((own[0].copy(), own[1].copy()))
-                elif any(probability_jaccard(x, own) >= threshold for x in lead):
-                    good[0].append(a)
-                    good[1].append(other)
-            if good[0]:
-                yield pa.record_batch([pa.array(good[0], pa.int64()), pa.array(good[1], pa.int64())], names=["a", "b"])
+                if bd is None:
+                    now, lead = (ad, at, salt), (own[0].copy(), own[1].copy())
+                elif now == (ad, at, salt) and probability_jaccard(lead, own) >= threshold:
+                    good.append(i)
+            if good:
+                yield b.select(["ad", "at", "bd", "bt"]).take(pa.array(good))
+
+    out = stage(stream.mapInArrow(compare, "ad long, at long, bd long, bt long").distinct().select(_text("ad", "at").alias("a"), _text("bd", "bt").alias("b")), "verified")
+    release(pairs, texts)
+    return out
+
 
-    return stage(stream.mapInArrow(compare, "a long, b long").distinct(), "verified")
+#: So many edges (of four longs) are joined at the driver; beyond, by rounds of joins.
+DRIVER_EDGES = 200_000
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the connected components of edges (a, b), by large-star and small-star steps; root is the least node."""
+def components(edges: DataFrame, most: int = DRIVER_EDGES) -> DataFrame:
+    """(node, root) of the connected components of edges (a, b) of structs; root is the least node.
+
+    By large-star and small-star steps; a counted edge table of at most `most` rows is joined at the driver.
+    """
+    spark = edges.sparkSession
+    edges = stage(edges.where("a <> b").distinct(), "edges")
+    n = edges.count()
+    if n <= most:
+        return _union_find(edges)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select("b", "a")) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        w = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        w = both.join(least, "a")
         if large:
             out = w.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            out = w.select("a", "b", "m")
-            out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(out.select("a", F.col("m").alias("b")))
+            out = w.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = None
-    edges = stage(edges.where("a <> b").distinct(), "edges")
-    while (now := mark(edges)) != before:
-        before = now
-        if not now[0]:
-            break
-        edges = stage(star(star(edges, True), False), "edges")
+    before, now = None, mark(edges)
+    while now != before:
+        half = stage(star(edges, True), "edges")
+        done, edges = edges, stage(star(half, False), "edges")
+        release(half, done)
+        before, now = now, mark(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, kept_doc_id): a row for each document that joins a group without being its least doc_id."""
+def _union_find(edges: DataFrame) -> DataFrame:
+    up: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        top = x
+        while (y := up.get(top, top)) != top:
+            top = y
+        while (y := up.get(x, x)) != top:
+            up[x], x = top, y
+        return top
+
+    for a, b in edges.select("a", "b").collect():
+        x, y = find(tuple(a)), find(tuple(b))
+        up.setdefault(x, x)
+        up.setdefault(y, y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    schema = f"node {TEXT}, root {TEXT}"
+    return edges.sparkSession.createDataFrame(pa.table([pa.array([dict(zip("dt", v, strict=True)) for v in c], pa.struct([("d", pa.int64()), ("t", pa.int64())])) for c in ([x for x in up if find(x) != x], [find(x) for x in up if find(x) != x])], ["node", "root"]), schema)
+
+
+def _buckets(rows: DataFrame, d: str, t: str) -> DataFrame:
+    """(band, ld, lt): buckets of rows (band, ..) in which the pairs (d, t) differ, and one of least d. Partial aggregates of longs, no window over a hot bucket."""
+    many = rows.groupBy("band").agg(F.min(d).alias("ld"), F.min_by(t, d).alias("lt"), F.max(d).alias("hd"), F.min(t).alias("least"), F.max(t).alias("most"))
+    return many.where("ld <> hd or least <> most").select("band", "ld", "lt")
+
+
+def grouped_rows(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, th, kept_doc_id, n_links): a row for each (doc_id, text) that another one of its group stands for."""
     sig = stage(signatures(docs, k, m, rows), "signatures")
-    same = Window.partitionBy("s1", "s2")
-    equal = stage(sig.select("doc_id", "s1", "s2").withColumn("rep", F.min("doc_id").over(same)).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "equal")
-    bands = sig.join(small(equal.select(F.col("b").alias("doc_id")).distinct()), "doc_id", "left_anti").select("doc_id", F.explode("bands").alias("band")).distinct()
-    bucket = Window.partitionBy("band")
-    members = stage(bands.withColumn("lead", F.min("doc_id").over(bucket)).withColumn("last", F.max("doc_id").over(bucket)).where("lead <> last").select("band", "doc_id", "lead"), "members")
-    first = members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    names = sig.select("doc_id", "th", "s1", "s2")
+    # Rows of the same words: by (s1, s2), counted where they are before anything moves.
+    shared = names.groupBy("s1", "s2").agg(F.min(_text("doc_id", "th")).alias("least"), F.count(F.lit(1)).alias("n"))
+    same = stage(shared.where("n > 1").select("s1", "s2", "least"), "same")
+    own = [F.coalesce("least.d", "doc_id").alias("d"), F.coalesce("least.t", "th").alias("t")]
+    bands = sig.join(small(same), ["s1", "s2"], "left").where("least is null or (doc_id = least.d and th = least.t)").select(*own, F.explode("bands").alias("band"))
+    bands = stage(bands, "bands")
+    members = stage(bands.join(small(stage(_buckets(bands, "d", "t"), "buckets")), "band").select("band", "d", "t", "ld", "lt").distinct(), "members")
+    first = members.where("d <> ld or t <> lt").select(_text("ld", "lt").alias("a"), _text("d", "t").alias("b")).distinct()
     found = verified(first, docs, threshold, k)
-    comp = components(found.union(equal))
-    # Buckets whose members aren't all joined by now: every pair across components is compared too.
-    root = F.coalesce(F.col("root"), F.col("doc_id")).alias("root")
-    placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "lead", root)
-    open_ = stage(placed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi").select("band", "doc_id", "root", "lead"), "open")
-    left, right = open_.alias("x"), open_.alias("y")
-    across = left.join(right, F.expr("x.band = y.band and x.doc_id < y.doc_id and x.root <> y.root and x.doc_id <> x.lead")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    across = across.join(first, ["a", "b"], "left_anti")
-    more = verified(across, docs, threshold, k)
-    links = comp.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
-    return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
+    comp = components(found)
+    # Buckets whose members aren't all joined by now: every pair across groups is compared too.
+    rooted = members.withColumn("x", _text("d", "t")).join(comp.withColumnRenamed("node", "x"), "x", "left")
+    rooted = rooted.select("band", "x", F.expr("d = ld and t = lt").alias("led"), F.coalesce("root.d", "d").alias("rd"), F.coalesce("root.t", "t").alias("rt"))
+    open_ = stage(rooted.join(small(stage(_buckets(rooted, "rd", "rt").select("band"), "buckets")), "band", "left_semi"), "open")
+    left, right = open_.alias("l"), open_.alias("r")
+    apart = F.expr("l.band = r.band and l.x < r.x and (l.rd <> r.rd or l.rt <> r.rt) and not l.led and not r.led")
+    across = left.join(right, apart).select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
+    more = verified(across.join(first, ["a", "b"], "left_anti"), docs, threshold, k)
+    links = found.unionByName(more)
+    final = components(comp.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+    degree = links.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("n_links"))
+    inside = final.withColumnRenamed("node", "x").join(degree, "x", "full").select("x", F.coalesce("root", "x").alias("root"), "n_links")
+    row = names.join(small(same), ["s1", "s2"], "left").select("doc_id", "th", _text(F.coalesce("least.d", "doc_id"), F.coalesce("least.t", "th")).alias("x")).distinct()
+    out = row.join(small(stage(inside, "inside")), "x", "left").select("doc_id", "th", F.coalesce("root", "x").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = stage(out.where("not (doc_id = root.d and th = root.t)").select("doc_id", "th", F.col("root.d").alias("kept_doc_id"), "n_links"), "grouped")
+    release(sig, bands, members, open_, same, found, more)
+    return out
+
+
+def near_groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, kept_doc_id, n_links): a row for each text of a document for which another row of its group, kept_doc_id's, stands.
+
+    Texts of one kept_doc_id, and that document's own, are one class; documents that no row names are alone in
+    theirs. n_links: how many texts of other words the row's text was compared with and found near.
+    """
+    return grouped_rows(docs, **options).select("doc_id", "kept_doc_id", "n_links")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group, all columns kept; documents without partner stay."""
+    """docs with one row of each group, all columns kept; rows whose text has no partner stay, whatever their doc_id."""
     need(docs, "doc_id", "text")
-    column = fresh(docs, "gone")
-    gone = small(stage(near_groups(docs, **options).select(F.col("doc_id").alias(column)), "gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col(column), "left_anti")
+    one, other = fresh(docs, "gone"), fresh(docs, "hash")
+    gone = small(grouped_rows(docs, **options).select(F.col("doc_id").alias(one), F.col("th").alias(other)))
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(one)) & (F.xxhash64(docs["text"].cast("string")) == F.col(other)), "left_anti")
