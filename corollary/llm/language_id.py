@@ -9,8 +9,10 @@ labels them; runs of one label are spans.
 
 The counts come from at most `max_rows` rows of each language that the table labels, chosen by a hash
 of doc_id (the documented bound); labelling covers every word of every text. Viterbi runs in lanes: a
-text is cut into blocks, all blocks advance in step from every entry language, and the blocks' best
-scores are then chained, which gives the same path as one pass over the text.
+text is cut into blocks, all blocks advance in step from every entry language, the blocks' best scores are
+chained, and each block is gone through again from the entry that this gives: the same path as one pass
+over the text, with one pointer a word and language. Texts are taken a slice of some MB at a time, a
+longer one alone.
 
 Defined results: null and empty texts, and texts without a word, give one row of language 'und' from
 0 to 0; rows that share a doc_id are labelled one by one, repeated ones twice; a null doc_id is
@@ -22,17 +24,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, need
+from .common import id_text, need, small, stage
 from .textops import U, Words, mix, pieces
 
 MAX_ROWS, BITS, SIZES, PENALTY, BLOCK = 400, 17, (1, 2, 3, 4, 5), 6.0, 32
+MOST_CELLS = 1 << 24  # of the blocks' tables of scores
 WIDE_SIZES, READS = (1, 2, 3, 4, 6, 8, 9), 0.05  # of letters of 2 and 3 bytes; least share of a language's words in a script
 
 #: (first code point, last, language by default, which also names the script). Latin is what is not listed.
@@ -135,12 +137,14 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel | None:
     """Counts of at most max_rows rows of each language in column lang; None without any."""
     need(docs, "doc_id", "text", "lang")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text <> '' and lang <> ''")
-    names = sorted(r[0] for r in base.select("lang").distinct().collect())
+    # One pass: each partition keeps max_rows rows of a language before anything moves (a window's group limit).
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "th"))
+    keyed = base.select("doc_id", F.xxhash64("text").alias("th"), "lang", F.xxhash64("doc_id", F.lit(23)).alias("key"))
+    chosen = stage(keyed.withColumn("place", place).where(F.col("place") <= max_rows).select("doc_id", "th", "lang").distinct(), "chosen")
+    names = sorted(r[0] for r in chosen.select("lang").distinct().collect())
     if not names:
         return None
-    keys = [base.where(F.col("lang") == n).select("doc_id", F.xxhash64("text").alias("th"), "lang").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id", "th").limit(max_rows) for n in names]
-    chosen = reduce(DataFrame.union, keys).distinct()
-    rows = base.withColumn("th", F.xxhash64("text")).join(F.broadcast(chosen.withColumnsRenamed({"doc_id": "d", "th": "h", "lang": "l"})), F.expr("doc_id <=> d and th = h and lang = l"), "left_semi").select("lang", "text")
+    rows = base.withColumn("th", F.xxhash64("text")).join(small(chosen.withColumnsRenamed({"doc_id": "d", "th": "h", "lang": "l"})), F.expr("doc_id <=> d and th = h and lang = l"), "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}  # places, then words by script
@@ -178,6 +182,7 @@ def viterbi(score: np.ndarray, off: np.ndarray, penalty: float, block: int = BLO
     n, k = score.shape
     if k < 2 or not n:
         return np.zeros(n, np.int64)
+    block = max(block, -(-n * k * k // MOST_CELLS))  # fewer, longer blocks where a text is long or languages are many
     lens = np.diff(off)
     many = -(-lens // block)
     row = np.repeat(np.arange(len(lens)), many)
@@ -188,20 +193,16 @@ def viterbi(score: np.ndarray, off: np.ndarray, penalty: float, block: int = BLO
     pen = penalty * (1 - np.eye(k))
     # best[b, e, l]: the block's best score with its first word labelled e and its last one l.
     best = np.where(np.eye(k, dtype=bool)[None], score[b0][:, None, :], -np.inf)
-    back = np.zeros((n, k, k), np.int8)
     for t in range(1, block):
         live = order[: int((size > t).sum())]
         if not len(live):
             break
         v = best[live]
-        top, lead = v.max(axis=2, keepdims=True), v.argmax(axis=2)
-        stay = v >= top - penalty
-        best[live] = np.where(stay, v, top - penalty) + score[b0[live] + t][:, None, :]
-        back[b0[live] + t] = np.where(stay, np.arange(k)[None, None, :], lead[:, :, None])
+        best[live] = np.maximum(v, v.max(axis=2, keepdims=True) - penalty) + score[b0[live] + t][:, None, :]
     # Chain the blocks of a row: entry[b]: for each last label, the entry label of the block and the last of the one before.
     first = np.cumsum(many) - many
     value = np.empty((nb, k))
-    entry, came = np.zeros((nb, k), np.int8), np.zeros((nb, k), np.int8)
+    entry, came = np.zeros((nb, k), np.int32), np.zeros((nb, k), np.int32)
     rows = np.argsort(-many, kind="stable")
     rows = rows[many[rows] > 0]
     for t in range(int(many.max())):
@@ -234,12 +235,24 @@ def viterbi(score: np.ndarray, off: np.ndarray, penalty: float, block: int = BLO
         t += 1
         go = many[rows] > t
         rows, now = rows[go], now[go]
+    # Once more through each block, now from its one entry label: k numbers and k pointers a word.
+    back = np.zeros((n, k), np.int16 if k < 1 << 15 else np.int32)
+    v = np.where(np.arange(k)[None, :] == enter[:, None], score[b0], -np.inf)
+    for t in range(1, block):
+        live = order[: int((size > t).sum())]
+        if not len(live):
+            break
+        own = v[live]
+        top = own.max(axis=1, keepdims=True) - penalty
+        stay = own >= top
+        back[b0[live] + t] = np.where(stay, np.arange(k)[None, :], own.argmax(axis=1)[:, None])
+        v[live] = np.where(stay, own, top) + score[b0[live] + t]
     cur = end.copy()
     for t in range(block - 1, -1, -1):
         live = np.flatnonzero(size > t)
         w = b0[live] + t
         label[w] = cur[live]
-        cur[live] = back[w, enter[live], cur[live]]
+        cur[live] = back[w, cur[live]]
     return label
 
 
