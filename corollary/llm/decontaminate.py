@@ -3,25 +3,31 @@
 The automaton of all items' words is small and goes to every task; a document's words are streamed
 through it, which gives at each word the longest stretch ending there that occurs in some item, and
 through suffix links its shorter ones. A stretch is reportable if it has at least `min_words` words,
-or `floor` words that make up at least `min_coverage` of an item. The longest reportable stretch at
-each word is reported unless the next word's goes on with it. Reported stretches are cut out of the
-text; a document of which no word is left is dropped.
-
-Words that no reportable stretch can contain are skipped exactly: such a stretch holds `floor`
-consecutive words of an item (or `min_words` if that is fewer), so documents without a run of that
-many words found in the items' set of such runs never reach the automaton.
-
-Items beyond `group_words` words are spread over several automata, one pass each, so that what is
-broadcast stays bounded.
-
-Defined results: null or empty texts and items match nothing; items that normalise to the same
-words are reported as the one of least id; a repeated row gives repeated rows; a null doc_id is
-reported as null; an empty table on either side gives no stretch, and leaves documents as they are.
+or `floor` words (all words, of a shorter item) that make up at least `min_coverage` of an item. The
+longest reportable stretch at each word is reported unless the next word's goes on with it. An item copied
+with changes is a passage: within twice the item's words, runs of `floor` words that together make up
+`min_coverage` of the item are reported as one, from the first to the last, in place of the stretches inside.
+What is reported is cut out of the text; a document of which no word is left is dropped.
+
+Words that nothing reportable can contain are skipped exactly: it holds `floor` consecutive words of an
+item (or `min_words`, or a whole shorter item, if that is fewer), so documents without a run of that many
+words found in the items' set of such runs never reach the automaton.
+
+Items beyond `group_words` words are spread over several automata. A worker builds each once, whatever the
+number of its tasks. Items are test sets, not corpus: their words' hashes (8 bytes a word) go to every worker.
+
+Defined results: null or empty texts and items match nothing, nor do items of fewer than SHORT words,
+which any text may hold; items that normalise to the same words are reported as the one of least id, and a
+stretch found in several items as the shortest one's, then the least id's; a repeated row gives repeated
+rows; a null doc_id is reported as null; an empty table on either side gives no stretch, and leaves documents
+as they are; texts of any length are streamed whole; further columns, whatever their names, are carried along
+by decontaminate (n_chars is counted anew) and ignored otherwise.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,7 +40,12 @@ from pyspark.sql import types as T
 from .common import id_text, need
 from .textops import Filter, Words, char_at, ngrams, pieces
 
-MIN_WORDS, MIN_COVERAGE, FLOOR, GROUP_WORDS = 13, 0.6, 8, 1_000_000
+MIN_WORDS, MIN_COVERAGE, FLOOR, GROUP_WORDS, SHORT = 13, 0.6, 8, 1_000_000, 4
+
+
+def _least(size: int, min_words: int, min_coverage: float, floor: int) -> int:
+    """Words of a reportable stretch of an item of `size` words."""
+    return min(min_words, max(min(floor, size), math.ceil(min_coverage * size - 1e-9)))
 
 
 class SuffixAutomaton:
@@ -86,7 +97,7 @@ class SuffixAutomaton:
 
     def limits(self, min_words: int, min_coverage: float, floor: int) -> None:
         """For every state the least length that is reported, and its nearest suffix that is."""
-        self.least = [1 << 60] + [min(min_words, max(floor, math.ceil(min_coverage * own[0] - 1e-9))) for own in self.owner[1:]]
+        self.least = [1 << 60] + [_least(own[0], min_words, min_coverage, floor) for own in self.owner[1:]]
         self.shorter = [0] * len(self.next)
         for v in sorted(range(1, len(self.next)), key=lambda v: self.length[v]):
             u = self.link[v]
@@ -121,7 +132,7 @@ def _normalised(benchmark: DataFrame) -> list[tuple[int, list[int]]]:
     first: dict[tuple, int] = {}
     for i, r in enumerate(rows):
         key = tuple(words.h[words.off[i] : words.off[i + 1]].tolist())
-        if key:
+        if len(key) >= SHORT:
             first[key] = min(first.get(key, r[0]), r[0])
     return [(item, list(key)) for key, item in sorted(first.items(), key=lambda x: x[1])]
 
@@ -137,24 +148,105 @@ def _groups(items: list, limit: int) -> list[list]:
     return out
 
 
-def _matcher(items: list, min_words: int, min_coverage: float, floor: int):
-    """A function from Words to (row, first word, past the last, item, coverage) of the stretches to report."""
-    automaton = SuffixAutomaton(items)
-    automaton.limits(min_words, min_coverage, floor)
-    k = min(floor, min_words)
-    flat = np.array([h for _, w in items for h in w], np.uint64)
-    off = np.cumsum([0, *(len(w) for _, w in items)])
-    runs = Filter(ngrams(flat, off, k)[1])
-
-    def find(words: Words) -> Iterator[tuple[int, int, int, int, float]]:
-        at, g = ngrams(words.h, words.off, k)
+class _Matcher:
+    """From Words to (row, first word, past the last, item, coverage) of what is to be reported."""
+
+    def __init__(self, items: list, min_words: int, min_coverage: float, floor: int):
+        self.items, self.min_coverage, self.floor = items, min_coverage, floor
+        self.automaton = SuffixAutomaton(items)
+        self.automaton.limits(min_words, min_coverage, floor)
+        flat = np.array([h for _, w in items for h in w], np.uint64)
+        self.off = np.cumsum([0, *(len(w) for _, w in items)])
+        self.k = min(floor, min_words, *(len(w) for _, w in items))
+        self.runs = Filter(ngrams(flat, self.off, self.k)[1])
+        # Runs of `floor` words with their places in the items, for passages.
+        at, g = ngrams(flat, self.off, floor)
+        order = np.argsort(g, kind="stable")
+        self.place, self.gram = at[order], g[order]
+
+    def __call__(self, words: Words) -> Iterator[tuple[int, int, int, int, float]]:
+        at, g = ngrams(words.h, words.off, self.k)
         if not len(at):
             return
-        for row in np.unique(np.searchsorted(words.off, at[runs(g)], "right") - 1):
-            for a, b, item, size in automaton.stretches(words.h[words.off[row] : words.off[row + 1]].tolist()):
-                yield int(row), a, b, item, (b - a) / size
-
-    return find
+        for row in np.unique(np.searchsorted(words.off, at[self.runs(g)], "right") - 1):
+            own = words.h[words.off[row] : words.off[row + 1]]
+            stretches = list(self.automaton.stretches(own.tolist()))
+            passages = self.passages(own)
+            for a, b, item, share in passages:
+                yield int(row), a, b, item, share
+            for a, b, item, size in stretches:
+                if not any(x <= a and b <= y and item == i for x, y, i, _ in passages):
+                    yield int(row), a, b, item, (b - a) / size
+
+    def passages(self, own: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Changed copies of items in one text: (first word, past the last, item, share of the item's words)."""
+        n = self.floor
+        at, g = ngrams(own, np.array([0, len(own)]), n)
+        lo, hi = np.searchsorted(self.gram, g), np.searchsorted(self.gram, g, "right")
+        many = hi - lo
+        if not many.any():
+            return []
+        here = np.repeat(at, many)
+        there = self.place[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        item = np.searchsorted(self.off, there, "right") - 1
+        out = []
+        order = np.argsort(item, kind="stable")
+        cut = np.flatnonzero(np.append(True, item[order][1:] != item[order][:-1]))
+        for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
+            i = int(item[order[x]])
+            size = int(self.off[i + 1] - self.off[i])
+            p, q = here[order[x:y]], there[order[x:y]] - int(self.off[i])
+            need = math.ceil(self.min_coverage * size - 1e-9)
+            if len(np.unique(q[:, None] + np.arange(n)[None, :])) < need or (np.diff(p) == 1).all() and (np.diff(q) == 1).all():
+                continue  # too little, or one unbroken stretch
+            out += self._windows(p.tolist(), q.tolist(), size, need, i)
+        return out
+
+    def _windows(self, p: list[int], q: list[int], size: int, need: int, i: int) -> list[tuple[int, int, int, float]]:
+        n, held, covered, left = self.floor, [0] * size, 0, 0
+        found: list[list] = []
+
+        def move(at: int, by: int) -> None:
+            nonlocal covered
+            for w in range(q[at], q[at] + n):
+                before, held[w] = held[w], held[w] + by
+                covered += (held[w] > 0) - (before > 0)
+
+        for r in range(len(p)):
+            move(r, 1)
+            while p[r] + n - p[left] > 2 * size:
+                move(left, -1)
+                left += 1
+            if covered < need:
+                continue
+            while left < r:  # what adds nothing at the left isn't part of it
+                now = covered
+                move(left, -1)
+                if covered < now:
+                    move(left, 1)
+                    break
+                left += 1
+            if found and p[left] < found[-1][1]:
+                found[-1] = [min(found[-1][0], p[left]), p[r] + n, max(found[-1][2], covered)]
+            else:
+                found.append([p[left], p[r] + n, covered])
+        return [(a, b, self.items[i][0], c / size) for a, b, c in found]
+
+
+_built: dict[tuple, _Matcher] = {}
+
+
+def _matcher(items: list, min_words: int, min_coverage: float, floor: int, name: str | None = None) -> _Matcher:
+    """A worker keeps the matchers of the last few names."""
+    key = (name, min_words, min_coverage, floor)
+    if name is None or key not in _built:
+        while len(_built) >= 8:
+            _built.pop(next(iter(_built)))
+        made = _Matcher(items, min_words, min_coverage, floor)
+        if name is None:
+            return made
+        _built[key] = made
+    return _built[key]
 
 
 def _spans(words: Words, original: Words, row: int, a: int, b: int) -> tuple[int, int]:
@@ -172,10 +264,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = M
     base = id_text(docs)
 
     def one_pass(items: list) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = _matcher(shared.value, min_words, min_coverage, floor)
+            find = _matcher(shared.value, min_words, min_coverage, floor, name)
             for b in pieces(batches):
                 words, original = Words(b.column(1)), None
                 rows = []
@@ -196,11 +288,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     """docs with the reported stretches cut out of text (and n_chars, if there is one, counted anew); all columns kept."""
     need(docs, "doc_id", "text")
     groups = _groups(_normalised(benchmark), group_words)
-    shared = docs.sparkSession.sparkContext.broadcast(groups)
+    shared, name = docs.sparkSession.sparkContext.broadcast(groups), uuid.uuid4().hex
     text_type = docs.schema["text"].dataType
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [_matcher(g, min_words, min_coverage, floor) for g in shared.value]
+        finders = [_matcher(g, min_words, min_coverage, floor, f"{name}-{i}") for i, g in enumerate(shared.value)]
         for b in pieces(batches, column="text"):
             k = b.schema.get_field_index("text")
             words = Words(b.column(k))
