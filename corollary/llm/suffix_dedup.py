@@ -5,9 +5,13 @@ other documents or in its own. Every stretch of K words names an anchor, the lea
 Q-word grams (leftmost of equal ones), so equal stretches name equal anchors. An anchor that occurs
 once in the corpus is done with. The others bring their surroundings together: at most K - Q words
 before and K words from the anchor on, which hold every stretch that names it. Surroundings that are
-equal throughout are covered as they are. Of those that differ, one each is cut down to what it
-shares with any other, and the suffix array of the distinct cuts, with its LCP, tells the K-word
-stretches that occur twice. Words are compared by 64-bit hashes.
+equal throughout are covered as they are. Two that differ can share a K-word stretch only if they agree in
+the first half of K words from the anchor on, or in more than half before it: so they meet by these halves,
+in groups far smaller than the anchor's, and one that meets nobody is done with before its words are read.
+In a group, each is cut down to what it shares with any other, and the suffix array of the distinct cuts,
+with its LCP, tells the K-word stretches that occur twice. A group of more than HOT surroundings (a passage
+in very many documents) isn't brought together: its stretches are counted by their hashes, with partial
+aggregates, which tells the same. Words and stretches are compared by 64-bit hashes.
 
 The suffix array is Baier's: groups of suffixes, first by symbol, are taken in descending order; the
 previous smaller suffixes of a group's members move to new groups right above their own, which sorts
@@ -15,8 +19,10 @@ groups by Lyndon prefix; then suffixes are emitted in ascending order, each one
 previous smaller suffixes before it. Nothing is renamed and nothing recurses.
 
 Defined results: null and empty texts and texts of fewer than K words have no passage; a repeated
-row is a copy of itself and so covered as a whole, and reported as often as it is there; rows that
-share a doc_id but not a text are apart; a null doc_id is reported as null; an empty table gives none.
+row is a copy of itself and so covered as a whole, but reported once, as each distinct (doc_id, text) is; rows
+that share a doc_id but not a text are apart; a null doc_id is reported as null; an empty table gives none;
+equal anchors (ties) in a stretch count as the leftmost; a text of any length is read whole; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, n_partitions, stage
+from .common import id_text, n_partitions, small, stage
 from .textops import U, Words, mix, ngrams, pieces, powers
 
-MIN_WORDS, GRAM = 50, 8
+MIN_WORDS, GRAM, HOT = 50, 8, 20_000
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -192,12 +198,31 @@ def anchors(words: Words, k: int, q: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return found[np.append(0, cut)], starts[np.append(0, cut)], starts[np.append(cut, len(starts)) - 1] + k
 
 
-def repeated_passages(docs: DataFrame, k: int = MIN_WORDS, q: int = GRAM) -> DataFrame:
+def _counted(fetched: DataFrame, k: int) -> DataFrame:
+    """(h, whole, from, to): the k-word stretches of the surroundings that occur twice among them, by counting."""
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(w.as_buffer(), U) for w in b.column(3)]
+            off = np.cumsum([0, *map(len, own)])
+            at, g = ngrams(np.concatenate(own) if own else np.zeros(0, U), off, k)
+            row = np.searchsorted(off, at, "right") - 1
+            start = at - off[row] - b.column(2).to_numpy()[row]
+            yield pa.record_batch([*(b.column(c).take(pa.array(row)) for c in (0, 1)), pa.array(start.astype(np.int32)), pa.array(g.view(np.int64))], names=["h", "whole", "from", "g"])
+
+    one = fetched.groupBy("h", "whole").agg(F.min("l").alias("l"), F.min("words").alias("words"))
+    every = stage(one.mapInArrow(stretches, "h long, whole long, from int, g long"), "stretches")
+    twice = stage(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "twice")
+    return every.join(small(twice), "g", "left_semi").select("h", "whole", "from", (F.col("from") + k).alias("to"))
+
+
+def repeated_passages(docs: DataFrame, k: int = MIN_WORDS, q: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the maximal unions of k-word stretches that occur twice; end exclusive."""
     spark = docs.sparkSession
     if not 0 < q <= k:
         raise ValueError("need 0 < q <= k")
     base = id_text(docs).where("text is not null and text <> ''").withColumn("th", F.xxhash64("text"))
+    after, ahead = -(-k // 2), k // 2 + 1  # words from the anchor on, or before it, of which two surroundings share the one or the other
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -211,33 +236,56 @@ def repeated_passages(docs: DataFrame, k: int = MIN_WORDS, q: int = GRAM) -> Dat
             name = mix((p[a + q] - p[a]) * ipw[a] + U(q))
             whole = mix(((p[hi] - p[lo]) * ipw[lo]) ^ ((a - lo).astype(U) << U(40)) ^ (hi - lo).astype(U))
             row = np.searchsorted(words.off, a, "right") - 1
+            right, left = np.minimum(a + after, len(words.h)), np.maximum(a - ahead, 0)
+            rh = np.where(a + after <= hi, mix((p[right] - p[a]) * ipw[a]) | U(1), U(0))
+            lh = np.where(a - ahead >= lo, mix((p[a] - p[left]) * ipw[left]) | U(1), U(0))
             yield pa.record_batch(
-                [pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array((a - words.off[row]).astype(np.int32)), pa.array((a - lo).astype(np.int16)), pa.array((hi - a).astype(np.int16))],
-                names=["h", "whole", "doc_id", "th", "at", "l", "r"],
+                [pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array((a - words.off[row]).astype(np.int32)), pa.array((a - lo).astype(np.int16)), pa.array((hi - a).astype(np.int16)), pa.array(lh.view(np.int64)), pa.array(rh.view(np.int64))],
+                names=["h", "whole", "doc_id", "th", "at", "l", "r", "lh", "rh"],
             )
 
-    every = base.mapInArrow(find, "h long, whole long, doc_id long, th long, at int, l short, r short")
+    every = base.mapInArrow(find, "h long, whole long, doc_id long, th long, at int, l short, r short, lh long, rh long")
     twice = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").select("h", "mixed")
     known = stage(every.join(twice, "h"), "anchors")
-    one = known.where("mixed").groupBy("h", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "doc_id", "at", "l", "r")).alias("s"))
-    wanted = one.select("h", "whole", "n", "s.*").groupBy(F.col("doc_id").alias("owner"), F.col("th").alias("owner_th")).agg(F.collect_list(F.struct("h", "whole", "n", "at", "l", "r")).alias("want"))
-    texts = base.join(wanted, F.expr("th = owner_th and doc_id <=> owner")).select("text", "want")
+    one = known.where("mixed").groupBy("h", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "doc_id", "at", "l", "r")).alias("s"), F.min("lh").alias("lh"), F.min("rh").alias("rh"))
+    one = stage(one, "surroundings")
+    side = lambda c, n: F.struct(F.lit(n).alias("side"), F.col(c).alias("half"))
+    sides = one.select("h", "whole", F.inline(F.array(side("rh", 0), side("lh", 1)))).where("half <> 0")
+    groups = stage(sides.groupBy("h", "side", "half").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
+    met = sides.join(small(groups), ["h", "side", "half"]).groupBy("h", "whole").agg(F.collect_list(F.struct("side", "half", "size")).alias("groups"))
+    wanted = one.join(met, ["h", "whole"]).select("h", "whole", "n", "s.*", "groups")
+    wanted = wanted.groupBy(F.col("doc_id").alias("owner"), F.col("th").alias("owner_th")).agg(F.collect_list(F.struct("h", "whole", "n", "at", "l", "r", "groups")).alias("want"))
+    texts = base.join(wanted, F.expr("th = owner_th and doc_id <=> owner")).select("text", "want", "owner", "owner_th")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # a row that is there many times is read once
         for b in pieces(batches, column="text"):
+            rows = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+            new = [i for i, r in enumerate(rows) if r not in seen and rows.index(r) == i] if len(set(rows)) < len(rows) or seen.intersection(rows) else None
+            seen.update(rows)
+            if new is not None:
+                b = b.take(pa.array(new, pa.int64()))
             words = Words(b.column(b.schema.get_field_index("text")))
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for i, want in enumerate(b.column(b.schema.get_field_index("want")).to_pylist()):
                 for x in want:
                     a = int(words.off[i]) + x["at"]
-                    for column, v in zip(out, (x["h"], x["whole"], x["n"], x["l"], words.h[a - x["l"] : a + x["r"]].tobytes()), strict=True):
-                        column.append(v)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary()), strict=True)], names=["h", "whole", "n", "l", "words"])
+                    own = words.h[a - x["l"] : a + x["r"]].tobytes()
+                    for g in x["groups"]:
+                        for column, v in zip(out, (x["h"], g["side"], g["half"], x["whole"], x["n"], x["l"], own, g["size"]), strict=True):
+                            column.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "side", "half", "whole", "n", "l", "words", "size"])
 
-    fetched = texts.mapInArrow(fetch, "h long, whole long, n long, l short, words binary").repartition(n_partitions(spark), "h").sortWithinPartitions("h", "whole")
+    fetched = texts.mapInArrow(fetch, "h long, side int, half long, whole long, n long, l short, words binary, size long")
+    large = groups.where(F.col("size") > hot).isEmpty() is False
+    if large:
+        fetched = stage(fetched, "fetched")
+    together = fetched.where(F.col("size") <= hot).drop("size")
+    together = together.repartition(n_partitions(spark), "h", "side", "half").sortWithinPartitions("h", "side", "half", "whole")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: int | None = None
+        now: tuple[int, int, int] | None = None
         own: dict[int, tuple[int, int, np.ndarray]] = {}
 
         def solve() -> tuple[list, ...]:
@@ -260,7 +308,7 @@ def repeated_passages(docs: DataFrame, k: int = MIN_WORDS, q: int = GRAM) -> Dat
             for who, found in zip(cuts.values(), spans, strict=True):
                 for i in who:
                     for a, b in found:
-                        for column, v in zip(out, (now, keys[i], first[i] + a, first[i] + b), strict=True):
+                        for column, v in zip(out, (now[0], keys[i], first[i] + a, first[i] + b), strict=True):
                             column.append(v)
             return out
 
@@ -269,19 +317,23 @@ def repeated_passages(docs: DataFrame, k: int = MIN_WORDS, q: int = GRAM) -> Dat
 
         for b in batches:
             solved = []
-            h, whole, n, x = (b.column(c).to_numpy() for c in range(4))
-            for i, raw in enumerate(b.column(4)):
-                if now != h[i]:
+            whole, n, x = (b.column(c).to_numpy() for c in (3, 4, 5))
+            for i, (key, raw) in enumerate(zip(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True), b.column(6), strict=True)):
+                if now != key:
                     if own:
                         solved.append(solve())
-                    now, own = int(h[i]), {}
+                    now, own = key, {}
                 own[int(whole[i])] = (int(n[i]), int(x[i]), np.frombuffer(raw.as_py(), U))
             if solved:
                 yield rows(solved)
         if own:
             yield rows([solve()])
 
-    covered = fetched.mapInArrow(order, "h long, whole long, from int, to int")
+    covered = together.mapInArrow(order, "h long, whole long, from int, to int")
+    # Surroundings that occur twice as a whole are covered, whomever they meet.
+    covered = covered.unionByName(one.where("n > 1").select("h", "whole", (-F.col("s.l")).cast("int").alias("from"), F.col("s.r").cast("int").alias("to")))
+    if large:
+        covered = covered.unionByName(_counted(fetched.where(F.col("size") > hot), k))
     parts = known.where("not mixed").select("doc_id", "th", (F.col("at") - F.col("l")).alias("from"), (F.col("at") + F.col("r")).alias("to"))
     parts = parts.unionByName(known.where("mixed").join(covered, ["h", "whole"]).select("doc_id", "th", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to")))
     lists = parts.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
