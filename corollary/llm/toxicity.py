@@ -6,14 +6,18 @@ terms'; the score is w0 + sum of weights + sum over pairs of words of the produc
 so that pairs of words (an insult and the name of a group) count beyond what each adds alone.
 Places whose terms don't tell the classes apart in the training rows (chi-square) are left out.
 
-Training reads at most `max_rows` labelled rows of either class, chosen by a hash of doc_id (the
-documented bound on what the driver gathers); scoring covers every document. The threshold is the
-one of best F1, of those with a precision of at least LEAST_PRECISION, on the part of the sample held
-out from training.
+Training reads at most `max_rows` labelled documents of either class, chosen by a hash of doc_id, one text
+each (the documented bound); places are counted on the executors, and the driver gets only the words of
+these documents that have an informative term. Scoring covers every document. The threshold is the one of
+best F1, of those with a precision of at least LEAST_PRECISION, on the part of the sample held out from
+training.
 
 Defined results: null and empty texts score as texts without words; labels that are null, neither 0
-nor 1, or of no document are ignored; a doc_id labelled both ways counts as toxic; without rows of
-both classes, or without a threshold of that precision, nothing is toxic; repeated rows are each scored; a null doc_id is scored too.
+nor 1, or of no document are ignored; a doc_id labelled both ways counts as toxic; of a labelled doc_id
+with several texts the least one is trained on; without rows of both classes, or without a threshold of that
+precision, nothing is toxic; repeated rows are each scored; a null doc_id is scored too; equal scores are
+on the same side of the threshold; an empty table of documents or labels gives none; a text of any length is
+scored by all of its words; further columns are carried along by reject_toxic, and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, id_text, need
+from .common import fresh, id_text, need, release, stage
 from .textops import U, Words, mix, pieces
 
 BITS, LEADING, FACTORS, MAX_ROWS, LEAST_PRECISION = 18, (4, 5, 6, 7, 8), 8, 4000, 0.5
@@ -75,23 +79,21 @@ def _raw(w0: float, doc: np.ndarray, weight: np.ndarray, vec: np.ndarray, n: int
     return w0 + np.bincount(doc, weight, n) + 0.5 * ((total * total).sum(axis=1) - square), total
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, seed: int = 7) -> FactorizationMachine:
-    """rows: for each training row the places of its distinct words' terms; y: 0 or 1. The last place stands for no term."""
+def informative(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places that tell the classes apart. seen: 2 x places, rows of either class that have the place; n: rows of either class."""
+    (b, a), (n0, n1) = seen, n
+    top = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1)
+    chi = top / np.maximum((a + b) * (n0 + n1 - a - b) * n1 * n0, 1e-9)
+    used = np.append((a + b >= 5) & (chi > 15), False)  # the last place stands for no term
+    return used
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, held: np.ndarray, used: np.ndarray, epochs: int = 12, seed: int = 7) -> FactorizationMachine:
+    """rows: for each row the places of its distinct words' terms; y: 0 or 1; held: rows that set the threshold only."""
     size = (1 << BITS) + 1
     rng = np.random.default_rng(seed)
-    held = np.zeros(len(y), bool)
-    held[rng.permutation(len(y))[: len(y) // 5]] = True
     train = np.flatnonzero(~held)
-    seen = np.zeros((2, size))
-    for i in train:
-        p = np.unique(rows[i])
-        seen[int(y[i]), p[p >= 0]] += 1
     n1, n0 = y[train].sum(), (1 - y[train]).sum()
-    a, b = seen[1], seen[0]
-    top = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1)
-    chi = top / np.maximum((a + b) * (n0 + n1 - a - b) * n1 * n0, 1e-9)
-    used = (a + b >= 5) & (chi > 15)
-    used[-1] = False
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)) * used[:, None]
     w0 = float(np.log((n1 + 1) / (n0 + 1)))
     gw, gv, g0 = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
@@ -145,19 +147,48 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Facto
     sample = {r[0]: r[1] for r in chosen[0].union(chosen[1]).collect()}
     if len(set(sample.values())) < 2:
         return None
-    ids = docs.sparkSession.createDataFrame([(k,) for k in sample], "doc_id long")
+    order = sorted(sample)
+    held = np.zeros(len(order), bool)
+    held[np.random.default_rng(7).permutation(len(order))[: len(order) // 5]] = True
+    ids = docs.sparkSession.createDataFrame([(k, sample[k], bool(h)) for k, h in zip(order, held, strict=True)], "doc_id long, toxic int, held boolean")
+    texts = id_text(docs).where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "held").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            doc, place = terms(Words(b.column(1)))
+            doc, place = terms(Words(b.column(3)))
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            yield pa.record_batch([b.column(0), pa.array([place[cut[i] : cut[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["doc_id", "places"])
-
-    got = id_text(docs).where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(features, "doc_id long, places binary").toArrow()
-    keys, places = got.column(0).to_pylist(), got.column(1).to_pylist()
-    order = sorted(range(len(keys)), key=lambda i: (keys[i], places[i]))
-    rows = [np.frombuffer(places[i], np.int32).reshape(-1, 1 + len(LEADING)) for i in order]
-    return fit(rows, np.array([sample[keys[i]] for i in order], float))
+            yield pa.record_batch([*b.columns[:3], pa.array([place[cut[i] : cut[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["doc_id", "toxic", "held", "places"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int64)
+        for b in batches:
+            for c, h, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if not h:
+                    p = np.unique(np.frombuffer(raw.as_buffer(), np.int32))
+                    seen[c, p[p >= 0]] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(seen[0, at]), pa.array(seen[1, at])], names=["place", "n0", "n1"])
+
+    staged = stage(texts.mapInArrow(features, "doc_id long, toxic int, held boolean, places binary"), "features")
+    y = np.array([sample[k] for k in order], float)
+    seen = np.zeros((2, 1 << BITS))
+    for r in staged.mapInArrow(count, "place int, n0 long, n1 long").groupBy("place").agg(F.sum("n0"), F.sum("n1")).toLocalIterator():
+        seen[:, r[0]] = r[1], r[2]
+    used = informative(seen, np.array([(y[~held] == c).sum() for c in (0, 1)], float))
+    shared = docs.sparkSession.sparkContext.broadcast(used)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for raw in b.column(3):
+                p = np.frombuffer(raw.as_buffer(), np.int32).reshape(-1, 1 + len(LEADING))
+                p = np.where(shared.value[p] & (p >= 0), p, -1)
+                out.append(p[(p >= 0).any(axis=1)].tobytes())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "places"])
+
+    got = {r[0]: np.frombuffer(r[1], np.int32).reshape(-1, 1 + len(LEADING)) for r in staged.mapInArrow(keep, "doc_id long, places binary").collect()}
+    release(staged)
+    return fit([got[k] for k in order], y, held, used)
 
 
 def _scored(docs: DataFrame, model: FactorizationMachine, text: str, column: str) -> DataFrame:
