@@ -8,8 +8,9 @@ rows, and no others, to a comparison of the texts' bytes.
 
 Defined results: a null text is never a duplicate; empty texts are texts like any other; of equal
 texts the row with the least doc_id stays (null ids last, ties by the other orderable columns),
-so a repeated row counts as a copy of itself; an empty table gives an empty table; further
-columns of any name are carried along untouched.
+so a repeated row counts as a copy of itself, and rows equal in all of these are one; an empty table
+gives an empty table; a text of any length is compared byte by byte; further columns of any name are
+carried along untouched. All operators read doc_id as a long: one that isn't a number raises in the job.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ lies inside that of a match with more shingles is left out (a header that quotes
 
 Defined results: null and empty texts, and texts of fewer than 3 words, match nothing; rows that share
 a doc_id are scanned one by one, repeated ones twice; a null doc_id is reported as null; a template of
-fewer than 3 words raises; an empty table gives no row; further columns are ignored.
+fewer than 3 words raises; an empty table gives no row; further columns are ignored; texts of any length are
+scanned whole; of windows of equal share the first stands, so notices nearer than a window are one match.
 """
 
 from __future__ import annotations

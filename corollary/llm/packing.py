@@ -10,7 +10,10 @@ windows by their rank within their length, with no data but the plan leaving the
 
 Defined results: null and empty texts have no tokens and no piece; rows that share a doc_id are
 packed one by one and stay apart as pieces; a null doc_id is carried as null; an empty table gives
-no window. Windows are numbered from 0; pieces of a window are listed by doc_id and start.
+no window; a text of any length is cut into as many pieces as it takes; of equally close fillings the one
+with the longer lengths is taken, and equal pieces take windows in the order of doc_id and start; further
+columns, whatever their names, are ignored. Windows are numbered from 0; pieces of a window are listed by
+doc_id and start.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, n_partitions, stage
+from .common import id_text, n_partitions, ship, stage
 from .textops import pieces
 from .tokens import TOKENIZER, encoder
 
-CAPACITY = 2048
+CAPACITY, PART_ROWS = 2048, 2_000_000
 
 Plan = list[tuple[dict[int, int], int]]  # counts of lengths in a window, and how many such windows
 
@@ -93,6 +96,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = encoder(tokenizer).count(b.column(1))
             yield pa.record_batch([b.column(0), pa.array(n.astype(np.int32))], names=["doc_id", "n_tokens"])
 
+    ship(docs.sparkSession, tokenizer)
     return id_text(docs).where("text is not null and text <> ''").mapInArrow(count, "doc_id long, n_tokens int").where("n_tokens > 0")
 
 
@@ -111,7 +115,8 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at += b.num_rows
 
     # A rank within each length: a range partitioning by length and doc_id, and the sizes of its parts.
-    ordered = cut.repartitionByRange(n_partitions(spark), "length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start")
+    parts = max(n_partitions(spark), lengths.count() // PART_ROWS)
+    ordered = cut.repartitionByRange(parts, "length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start")
     ordered = stage(ordered.mapInArrow(place, "doc_id long, start int, length int, part int, place long"), "ordered")
     sizes = {r[0]: r[1] for r in ordered.groupBy("part").count().collect()}
     histogram = {r[0]: r[1] for r in ordered.groupBy("length").count().collect()}

@@ -12,12 +12,13 @@ runs again leaves the same bytes.
 The input is tokenised twice, which is cheaper than keeping the ids: first for the number of tokens of
 each partition, one number and a check sum each, whose running sums tell where a partition's stream
 begins; then to send the ids to their slots. The second pass raises if it doesn't meet the first one's
-check sum; an input whose plan has a shuffle, so that its rows may move, is written to the shared folder
-first. A document that runs over the end of a sequence sends its pieces to the slots of both.
+check sum; an input that isn't a plain scan with filters and projections, so that its rows may move, is
+written to the shared folder first. A document that runs over the end of a sequence sends its pieces to the slots of both.
 
 Defined results: null and empty texts have no token and no place; rows that share a doc_id, and repeated
 rows, all count; a null doc_id is listed as null; an empty table gives no sequence and no shard; further
-columns are ignored.
+columns are ignored; a text of any length is cut over as many sequences as it takes; there are no ties, as
+the order is that of partitions and rows.
 """
 
 from __future__ import annotations
@@ -32,11 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, n_partitions, scratch_root, stage
+from .common import id_text, n_partitions, scratch_root, ship, stage
 from .textops import U, mix, pieces
 from .tokens import TOKENIZER, encoder
 
 LENGTH, PER_SHARD, KEY, END, ROUNDS = 1024, 16_384, 0x5EED, 2, 4
+TASK_BYTES = 256 << 20  # of shards that one task writes, unless one shard is larger
+_FIXED = {"Project", "Filter", "LogicalRelation", "LocalRelation", "Union"}  # plans that give the same rows in the same places again
+
+
+def _replays(plan) -> bool:
+    """Whether an optimised plan is made of _FIXED nodes alone."""
+    below = plan.children()
+    return plan.getClass().getSimpleName() in _FIXED and plan.deterministic() and all(_replays(below.apply(i)) for i in range(below.size()))
 
 
 def _half_bits(n: int) -> int:
@@ -83,8 +92,9 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
     folder = folder or f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}"
 
     base = id_text(docs).where("text is not null and text <> ''")
-    if "Exchange" in base._jdf.queryExecution().executedPlan().toString():
+    if not _replays(base._jdf.queryExecution().optimizedPlan()):
         base = stage(base, "docs")
+    ship(spark, tokenizer)
 
     def check_sum(check: int, n: np.ndarray) -> int:
         return zlib.crc32(n.tobytes(), check)
@@ -101,7 +111,8 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
         offset[part], total = (total, check), total + n
     n_seq = -(-total // length)
     shared = spark.sparkContext.broadcast(offset)
-    n_shards, n_parts = -(-n_seq // per_shard), n_partitions(spark)
+    n_shards = -(-n_seq // per_shard)
+    n_parts = max(1, min(n_shards, max(n_partitions(spark), -(-n_seq * length * 2 // TASK_BYTES))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, expected = shared.value[TaskContext.get().partitionId()]
@@ -122,7 +133,7 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
             cuts = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(ids.tobytes())])
             at += int(n.sum())
             yield pa.record_batch(
-                [pa.array((shard * min(n_parts, n_shards) // n_shards).astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(slot), pa.array((lo - seq * length).astype(np.int32)), pa.array(seq), doc.take(pa.array(row)), cuts],
+                [pa.array((shard * n_parts // n_shards).astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(slot), pa.array((lo - seq * length).astype(np.int32)), pa.array(seq), doc.take(pa.array(row)), cuts],
                 names=["part", "shard", "slot", "at", "seq", "doc_id", "ids"],
             )
         if check != expected:
@@ -183,5 +194,5 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
         return spark.createDataFrame([], schema)
     # Part p has the p-th range of shards: a shard is one task's, and sorting makes its writes sequential.
     cuts = base.mapInArrow(cut, "part int, shard int, slot long, at int, seq long, doc_id long, ids binary")
-    placed = cuts.repartitionById(min(n_parts, n_shards), F.col("part")).drop("part").sortWithinPartitions("shard", "slot", "at")
+    placed = cuts.repartitionById(n_parts, F.col("part")).drop("part").sortWithinPartitions("shard", "slot", "at")
     return stage(placed.mapInArrow(write, schema), "manifest")

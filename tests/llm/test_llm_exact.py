@@ -73,7 +73,7 @@ def test_suffix_automaton(seed):
         for j in range(i + 1, len(text) + 1):
             s = text[i:j]
             holders = [len(w) for _, w in items if any(w[k : k + len(s)] == s for k in range(len(w)))]
-            if holders and (len(s) >= min_words or len(s) >= floor and len(s) >= coverage * min(holders) - 1e-9):
+            if holders and (len(s) >= min_words or len(s) >= min(floor, *holders) and len(s) >= coverage * min(holders) - 1e-9):
                 want |= set(range(i, j))
     assert covered == want
 
@@ -91,6 +91,20 @@ def test_decontamination_cuts_spans(spark):
     assert decontaminate.decontaminate(df.where("false"), bench).count() == 0
 
 
+def test_decontamination_of_changed_and_short_items(spark):
+    """One word in twelve changed: no stretch has 13 words, all together cover the item. Items of under 8 words count whole."""
+    item = [f"w{i}" for i in range(36)]
+    changed = [f"new{i}" if i % 12 == 11 else w for i, w in enumerate(item)]
+    far = [*item[:11], *(f"x{i}" for i in range(80)), *item[12:23], *(f"y{i}" for i in range(80)), *item[24:35]]
+    docs = [(1, "start " + " ".join(changed) + " end"), (2, " ".join(far)), (3, "is red hot iron soft here"), (4, "is red hot"), (5, "yes or no")]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "red hot iron soft"), (9, "yes or")], "item_id long, text string")
+    df = spark.createDataFrame(docs, DOCS)
+    got = {(r.doc_id, r.item_id, docs[r.doc_id - 1][1][r.start : r.end]) for r in decontaminate.contaminated_spans(df, bench).collect()}
+    assert got == {(1, 7, " ".join(changed[:35])), (3, 8, "red hot iron soft")}
+    left = {r.doc_id: r.text for r in decontaminate.decontaminate(df, bench).collect()}
+    assert left[1] == f"start  {changed[35]} end" and left[3] == "is  here" and all(left[i] == docs[i - 1][1] for i in (2, 4, 5))
+
+
 # 3 Suffix arrays
 
 
@@ -129,8 +143,11 @@ def test_repeated_passages(spark, k, q):
     docs = [(i, " ".join(rng.choice("ab" if i % 3 else "abcdefgh") for _ in range(rng.randint(0, 50)))) for i in range(30)]
     docs += [(100, docs[3][1]), (101, docs[4][1] + " x " + docs[5][1]), (102, None), (103, "a " * 200)]
     df = spark.createDataFrame(docs, DOCS).selectExpr("*", "1 AS h", "'y' AS whole")
-    got = {tuple(r) for r in suffix_dedup.repeated_passages(df, k, q).collect()}
-    assert got == brute_passages(docs, k)
+    docs.append(docs[4])  # a repeated row is a copy of itself, reported once
+    df = df.union(df.where("doc_id = 4"))
+    for hot in (suffix_dedup.HOT, 3):  # groups of more than 3 surroundings are counted instead
+        got = [tuple(r) for r in suffix_dedup.repeated_passages(df, k, q, hot).collect()]
+        assert set(got) == brute_passages(docs, k) and len(got) == len(set(got))
     assert suffix_dedup.repeated_passages(df.where("false"), k, q).count() == 0
 
 
