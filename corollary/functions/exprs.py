@@ -16,15 +16,17 @@ def u32(c: Column) -> Column:
 
 
 def add(a: Column, b: Column) -> Column:
-    return u32(a + b)
+    """Operands count modulo 2**32 (a base column may hold any long), so nothing overflows here or below."""
+    return u32(u32(a) + u32(b))
 
 
 def sub(a: Column, b: Column) -> Column:
-    return u32(a - b)
+    return u32(u32(a) - u32(b))
 
 
 def mul(a: Column, b: Column) -> Column:
     """By halves: no product exceeds 2**49, so nothing overflows a long."""
+    a, b = u32(a), u32(b)
     low, high = a.bitwiseAND(F.lit(0xFFFF)) * b, F.shiftright(a, 16) * b
     return u32(low + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..store import scratch
 
 
 class IndexMissing(LookupError):
@@ -29,6 +31,22 @@ def postings(observation: DataFrame) -> DataFrame:
     return observation.select(content.alias("content")).select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"), "content").distinct()
 
 
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(observation: DataFrame) -> DataFrame:
+    """Postings as a table: a folder for each bucket of terms, so that a search reads its terms' buckets only."""
+    spark = observation.sparkSession
+    path = f"{scratch.root(spark)}/postings-{uuid.uuid4().hex}"
+    own = postings(observation).withColumn("bucket", bucket(F.col("term")))
+    own.repartition("bucket", F.pmod(F.xxhash64("content"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    return spark.read.schema("term string, content string, bucket int").parquet(path)
+
+
 def search(index: DataFrame | None, query: str, top: int | None = None) -> DataFrame:
     """(content, score) of the contents that hold every term; the score is the number of query terms, repeats included."""
     if index is None:
@@ -36,6 +54,9 @@ def search(index: DataFrame | None, query: str, top: int | None = None) -> DataF
     terms = query_terms(query)
     wanted = sorted(set(terms))
     hits = index.where(F.col("term").isin(wanted) if wanted else F.lit(False))
+    if wanted and "bucket" in index.columns:
+        own = index.sparkSession.range(1).select(*(bucket(F.lit(t)) for t in wanted)).first()
+        hits = hits.where(F.col("bucket").isin(sorted(set(own))))
     found = hits.groupBy("content").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("content", F.lit(len(terms)).alias("score"))
     return found if top is None else found.orderBy(F.desc("score"), "content").limit(top)
 

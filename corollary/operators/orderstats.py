@@ -58,14 +58,42 @@ def range_count(df: DataFrame, low: Sequence, high: Sequence, leading: Sequence
     return within(df, leading).where(before(names, at(high)) & ~before(names, at(low))).agg(F.count(F.lit(1)).alias("n"))
 
 
+FEW, CUTS = 10_000, 64  # tuples that are sorted to find one; ranges into which the others are counted
+
+
 def select(df: DataFrame, k: int, leading: Sequence = (), perm: Sequence[int] | None = None) -> DataFrame:
-    """The tuple of rank k; raises if there are no more than k."""
+    """The tuple of rank k; raises if there are no more than k.
+
+    Ranges cut at sampled tuples are counted in one scan, and only the one that holds rank k is looked into
+    further: no shuffle of the relation, and the driver gets the counts of CUTS ranges and one tuple.
+    """
     if k < 0:
         raise IndexError(k)
-    out = within(df, leading).orderBy(*_columns(df, perm)).offset(k).limit(1)
-    if out.isEmpty():
+    names, own = _columns(df, perm), within(df, leading)
+    n = own.count()
+    if k >= n:
         raise IndexError(f"the relation has no tuple of rank {k}")
-    return out
+    at = k
+    while n > FEW:
+        # Bounded by the fraction: some 4000 tuples, whatever n is.
+        sample = sorted(tuple(r) for r in own.select(*names).sample(min(1.0, 4000 / n), 17).limit(8000).collect())
+        cuts = sorted(set(sample[:: max(1, len(sample) // CUTS)]))
+        if not cuts:
+            break
+        part = reduce(lambda a, b: a + b, [(~before(names, c)).cast("int") for c in cuts])
+        found = {r[0]: r[1] for r in own.groupBy(part.alias("part")).count().collect()}
+        i = 0
+        while at >= found.get(i, 0):
+            at -= found.get(i, 0)
+            i += 1
+        if found[i] == n:
+            break
+        n = found[i]
+        if i > 0:
+            own = own.where(~before(names, cuts[i - 1]))
+        if i < len(cuts):
+            own = own.where(before(names, cuts[i]))
+    return own.orderBy(*names).offset(at).limit(1)
 
 
 def with_rank(df: DataFrame, by: Sequence[str] = (), perm: Sequence[int] | None = None, parts: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..store import scratch
@@ -75,6 +75,16 @@ def fit_basis(vectors: DataFrame, column: str, bits: int, rounds: int = 50, seed
     return Basis(lead @ rotation, float(127 / max(most, 1e-12)))
 
 
+def basis_table(spark: SparkSession, basis: Basis) -> DataFrame:
+    """(place, row): the matrix's rows in order, and at -1 the scale."""
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(basis.matrix)] + [(-1, [basis.scale])], "place int, row array<double>")
+
+
+def read_basis(table: DataFrame) -> Basis:
+    rows = sorted((r[0], r[1]) for r in table.collect())  # a row for each dimension
+    return Basis(np.array([r for _, r in rows[1:]]), rows[0][1][0])
+
+
 def signature_bands(vector: Column, basis: Basis) -> Column:
     """Array of 16-bit band values: the signs of the projections, most significant bit first.
 

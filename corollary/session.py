@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import regex
-from .lang.ast import MAX_ARITY, ArityError, Const, Rule, RuleError, SafetyError, Var
-from .lang.checks import RESERVED, check_program, key, lint
+from .lang.ast import MAX_ARITY, ArityError, Const, Rule, RuleError, SafetyError, Var, show
+from .lang.checks import RESERVED, check_program, key, lint, stratify
 from .lang.parser import parse, parse_goal
-from .operators import fulltext, graph, orderstats
+from .operators import fulltext, graph, orderstats, vector
 from .plans import magic
-from .plans.fixpoint import Evaluator, union, without
+from .plans.fixpoint import Evaluator, closure_of, reached, union
 from .sources import csv
+from .store import scratch
+from .store.relations import Relations
 from .store.snapshots import Snapshots
 from .store.transactions import Transactions
 from .streaming.maintain import Maintainer
@@ -32,25 +34,68 @@ class Database:
     Like relations of the rule language, base relations are sets with columns c0, c1, ... of longs,
     strings or lists. Reads named query*, asof*, rank, select, count and iterate go to the published
     version once there is one; lookup, prefix, search and traverse see the live state.
+
+    A folder holds all of it, and opening it again finds relations, rules, revisions and versions as they
+    were after the last call that returned. One object writes in a folder at a time (Locked otherwise);
+    read_only ones see the state as it was when they opened it. break_lock is for a lock whose owner died.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, null_safe: bool = False, doubling: bool = True):
+    def __init__(self, spark: SparkSession, folder: str | None = None, null_safe: bool = False, doubling: bool = True, read_only: bool = False, break_lock: bool = False):
         self.spark, self.null_safe, self.doubling = spark, null_safe, doubling
-        self.arity: dict[str, int] = {}
-        self.variadic: set[str] = set()
-        self.base: dict[str, DataFrame] = {}
-        self.rules: list[Rule] = []
-        self.perms: dict[str, list[tuple[int, ...]]] = {}
+        self.base = Relations(spark, folder, read_only, break_lock)
+        known = self.base.state["database"]
+        self.arity: dict[str, int] = known.get("arity", {})
+        self.variadic: set[str] = set(known.get("variadic", ()))
+        self.rules: list[Rule] = parse("\n".join(known.get("rules", ())))
+        self.perms: dict[str, list[tuple[int, ...]]] = {k: [tuple(x) for x in v] for k, v in known.get("perms", {}).items()}
         self.counters: Counter = Counter()
         self.snapshots = Snapshots(spark, folder)
+        self.snapshots.retain = known.get("retain", 0)
         self.transactions = Transactions(self)
+        self.transactions.revisions = dict(known.get("revisions", {}))
         self.maintainer: Maintainer | None = None
         self.index: DataFrame | None = None
+        self.vector_index: dict[str, DataFrame] = {}
+        self.indexed: dict[str, DataFrame] = {}  # as they were published last
+        for entry in self.base.replay():
+            self.redo(entry)
+
+    def redo(self, entry: dict) -> None:
+        for name, arity in entry.get("declared", ()):
+            self._declare(name, arity)
+        self.rules += parse("\n".join(entry.get("rules", ())))
+        for name, perm in entry.get("perms", ()):
+            self.perms.setdefault(name, []).append(tuple(perm))
+        self.apply([(name, tuple(values), sign) for name, values, sign in entry.get("changes", ())])
+        self.transactions.revisions |= entry.get("revisions", {})
+
+    def save(self) -> None:
+        """Writes what the log holds into the folder's tables."""
+        self.base.save({"arity": self.arity, "variadic": sorted(self.variadic), "rules": [show(r) for r in self.rules], "perms": self.perms, "revisions": self.transactions.revisions, "retain": self.snapshots.retain})
+
+    def close(self) -> None:
+        """Saves and lets another writer in; nothing can be changed through this object any more."""
+        self.transactions.forbid("closing")
+        if self.base.locked:
+            self.save()
+        self.base.close()
+
+    def __enter__(self) -> Database:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.base.close()
 
     # Relations
 
     def declare(self, name: str, arity: int) -> None:
         """arity 0: facts of any width up to 8."""
+        new = name not in self.arity and name not in self.variadic
+        self._declare(name, arity)
+        if new:
+            self.base.log({"declared": [[name, arity]]})
+
+    def _declare(self, name: str, arity: int) -> None:
         if name in RESERVED:
             raise SafetyError(f"relation {name} is reserved")
         if arity == 0:
@@ -68,21 +113,23 @@ class Database:
 
     def set_relation(self, name: str, df: DataFrame, distinct: bool = False) -> None:
         """Adds a table's rows as base facts; distinct: they are known to be a set already. Integers become longs."""
+        self.base.writable()
         n = len(df.columns)
         if name not in self.variadic:
-            self.declare(name, n)
+            self._declare(name, n)
         cols = [F.col(f"`{c}`").cast("long").alias(f"c{i}") if isinstance(df.schema[c].dataType, T.IntegralType) else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
         new = df.select(*cols)
         if not self.null_safe:
             new = new.na.drop() if any(f.nullable for f in new.schema.fields) else new
         k = self.key(name, n)
         self.base[k] = (new if distinct else new.distinct()) if k not in self.base else union([self.base[k], new]).distinct()
+        self.save()
 
     def load_csv(self, name: str, path: str, arity: int | None = None) -> dict[str, int]:
         """Headerless CSV; returns counts of rows read, skipped and (after removing repeated ones) held."""
         self.transactions.forbid("bulk load")
         if name not in self.arity and name not in self.variadic:
-            self.declare(name, arity if arity is not None else csv.width(self.spark, path))
+            self._declare(name, arity if arity is not None else csv.width(self.spark, path))
         counts = {}
         if name in self.variadic:
             parts, counts = csv.read_variadic(self.spark, path)
@@ -126,28 +173,48 @@ class Database:
     def change(self, name: str, plus: list[tuple], minus: list[tuple]) -> None:
         """Many additions and deletions at once; they are remembered for the next incremental publication."""
         self.transactions.forbid("direct change")
-        self.apply(name, plus, minus)
-
-    def apply(self, name: str, plus: list[tuple], minus: list[tuple]) -> None:
-        for rows, sign in ((plus, 1), (minus, -1)):
-            by_width: dict[int, list] = {}
-            for r in rows:
-                by_width.setdefault(len(r), []).append(tuple(r))
-            for n, own in by_width.items():
-                if name not in self.variadic:
-                    self.declare(name, n)
-                self.apply_table(self.key(name, n), self.rows(own), sign)
+        changes = [(name, tuple(r), sign) for rows, sign in ((plus, 1), (minus, -1)) for r in rows]
+        before = self.base.snapshot()
+        try:
+            self.apply(changes, note=False)
+            self.base.log({"changes": changes})
+        except Exception:
+            self.base.own = before
+            raise
+        self.note(changes)
+
+    def change_all(self, changes: list[tuple[str, tuple, int]]) -> None:
+        for name in dict.fromkeys(n for n, _, _ in changes):
+            self.change(name, [v for n, v, s in changes if n == name and s > 0], [v for n, v, s in changes if n == name and s < 0])
+
+    def grouped(self, changes: list[tuple[str, tuple, int]]) -> Iterator[tuple[str, list[tuple], int]]:
+        """The changes by relation and sign, in order."""
+        held: dict[tuple[str, int], list[tuple]] = {}
+        for name, values, sign in changes:
+            if name not in self.variadic:
+                self._declare(name, len(values))
+            held.setdefault((self.key(name, len(values)), sign), []).append(values)
+        for (k, sign), rows in held.items():
+            yield k, rows, sign
+
+    def apply(self, changes: list[tuple[str, tuple, int]], note: bool = True) -> None:
+        for k, rows, sign in self.grouped(changes):
+            self.base.change(k, rows, sign, self.base[k].schema if k in self.base else self.rows(rows).schema)
+        if note:
+            self.note(changes)
+
+    def note(self, changes: list[tuple[str, tuple, int]]) -> None:
+        if self.maintainer:
+            for k, rows, sign in self.grouped(changes):
+                self.maintainer.note(k, rows, sign)
 
     def apply_table(self, k: str, df: DataFrame, sign: int) -> None:
-        known = self.base.get(k)
-        df = df.distinct()
-        if sign > 0:
-            fresh = df if known is None else without(df, known)
-            self.base[k] = fresh if known is None else known.unionByName(fresh)
-        elif known is not None:
-            self.base[k] = without(known, df)
+        """A table's rows as additions or deletions; written at once."""
+        self.base.writable()
+        self.base.change_table(k, df, sign)
         if self.maintainer:
-            self.maintainer.note(k, df, sign)
+            self.maintainer.note_table(k, df, sign)
+        self.save()
 
     def live(self, name: str, arity: int | None = None) -> DataFrame:
         k = name if name not in self.variadic else f"{name}/{arity}"
@@ -169,11 +236,15 @@ class Database:
         return not self.prefix_of(self.live(name), values).isEmpty()
 
     @staticmethod
-    def prefix_of(df: DataFrame, values: Sequence) -> DataFrame:
-        for c, v in zip(df.columns, values, strict=False):
-            if isinstance(v, str) != isinstance(df.schema[c].dataType, T.StringType):
+    def prefix_of(df: DataFrame, values: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
+        """Rows with the values in the columns (the leading ones unless given); comparisons are typed, and so reach the scan."""
+        for c, v in zip(columns or df.columns, values, strict=False):
+            t = df.schema[c].dataType
+            if isinstance(t, T.BooleanType) and v in ("true", "false"):
+                v, t = v == "true", None
+            if t is not None and (isinstance(v, str) != isinstance(t, T.StringType) or isinstance(t, (T.ArrayType, T.BooleanType))):
                 return df.limit(0)
-            df = df.where(F.col(c) == F.lit(v))
+            df = df.where(F.col(c) == (F.lit(v) if isinstance(v, (str, bool)) else F.lit(v).cast("long")))
         return df
 
     def prefix(self, name: str, *values) -> DataFrame | dict[int, DataFrame]:
@@ -195,11 +266,9 @@ class Database:
         known, _ = check_program([*self.rules, *new], self.arity, self.variadic)
         self.arity = known
         self.rules += rules
-        by_rel: dict[str, list] = {}
-        for r in facts:
-            by_rel.setdefault(r.head.rel, []).append(tuple(a.value for a in r.head.args))
-        for name, rows in by_rel.items():
-            self.facts(name, rows)
+        self.base.log({"rules": [show(r) for r in rules]})
+        if facts:
+            self.change_all([(r.head.rel, tuple(a.value for a in r.head.args), 1) for r in facts])
         return lint(rules)
 
     def evaluator(self, rules: list[Rule] | None = None, base: dict[str, DataFrame] | None = None) -> Evaluator:
@@ -258,6 +327,19 @@ class Database:
 
         if "b" not in adornment or not any(r.head.rel == name for r in self.rules):
             return narrow(self.derive(name))
+        own = next((s for s in stratify(self.rules, self.variadic) if name in s.relations), None)
+        edge = closure_of(own, self.base) if own and own.recursive and self.doubling and not self.null_safe else None
+        if edge is not None:
+            # A closure needs a frontier from the bound end, not pairs.
+            edges = self.evaluator().run([self.key(edge.rel, 2)]).get(self.key(edge.rel, 2))
+            if edges is None:
+                return self.typed(name, None)
+            self.counters["frontier"] += 1
+            forward = adornment[0] == "b"
+            start, t = values[0], edges.schema["c0" if forward else "c1"].dataType
+            if isinstance(start, str) != isinstance(t, T.StringType) or isinstance(t, T.ArrayType):
+                return narrow(edges.limit(0))
+            return narrow(reached(edges, start, forward))
         rules, goal, seed = magic.rewrite(self.rules, name, adornment, set(self.base))
         full = magic.complete_inputs(self.rules, name)
         base = dict(self.base)
@@ -284,8 +366,27 @@ class Database:
     def publish(self) -> int:
         """Evaluates (incrementally if that was begun) and writes a version."""
         self.transactions.forbid("publication")
-        views = self.maintainer.publish() if self.maintainer else self.evaluator().run()
-        return self.snapshots.publish({k: v for k, v in views.items() if v is not None and not k.startswith("rev")} | {n: self.typed(n, None) for n in self.arity if views.get(n) is None})
+        self.save()
+        same: set[str] = set()
+        grown: dict[str, DataFrame] = {}
+        if self.maintainer:
+            views = self.maintainer.publish()
+            if self.maintainer.since == self.snapshots.current() > 0:
+                same, grown = self.maintainer.unchanged(), self.maintainer.grown()
+        else:
+            views = self.evaluator().run()
+        relations = {k: v for k, v in views.items() if v is not None and not k.startswith("rev")} | {n: self.typed(n, None) for n in self.arity if views.get(n) is None}
+        indexes = self.indexes()
+        same |= {n for n, df in indexes.items() if self.indexed.get(n) is df}
+        version = self.snapshots.publish(relations | indexes, same, grown)
+        self.indexed = indexes
+        if self.maintainer:
+            self.maintainer.since = version
+        return version
+
+    def indexes(self) -> dict[str, DataFrame]:
+        """What text and vector search read, as relations of a version."""
+        return ({} if self.index is None else {"__postings__": self.index}) | self.vector_index
 
     def maintain(self) -> Maintainer:
         """From here on, publications evaluate changes only, where that is possible."""
@@ -335,6 +436,7 @@ class Database:
             raise ValueError(f"{list(perm)} isn't an order of {name}'s columns")
         own = self.perms.setdefault(name, [])
         if tuple(perm) not in own:
+            self.base.log({"perms": [[name, list(perm)]]})
             own.append(tuple(perm))
         return own.index(tuple(perm))
 
@@ -370,11 +472,40 @@ class Database:
         return graph.node_observations(self.live("observation"), node, most)
 
     def build_index(self) -> DataFrame:
-        self.index = fulltext.postings(self.live("observation"))
+        """Writes the postings of all observations, in buckets by term; published with the next version."""
+        self.index = fulltext.write_postings(self.live("observation"))
         return self.index
 
-    def search(self, query: str, top: int | None = None) -> DataFrame:
-        return fulltext.search(self.index, query, top)
+    def search(self, query: str, top: int | None = None, version: int | None = None) -> DataFrame:
+        """(content, score); of a version if one is given, else of the index as it was last built."""
+        if version is None and self.index is None and self.snapshots.current() and "__postings__" in self.snapshots.relations(self.snapshots.current()):
+            version = self.snapshots.current()
+        return fulltext.search(self.index if version is None else self.snapshots.read(version, "__postings__"), query, top)
+
+    def build_vectors(self, vectors: DataFrame, bits: int = 64) -> DataFrame:
+        """Fits the basis on all rows (entity, vector) and writes bands and int8 forms; published with the next version."""
+        entity, column = vectors.columns[:2]
+        basis = vector.fit_basis(vectors, column, bits)
+        encoded = scratch.write(vector.encode(vectors, entity, column, basis), "vectors").df(self.spark)
+        self.vector_index = {"__vectors__": encoded, "__bands__": vector.band_table(encoded), "__basis__": vector.basis_table(self.spark, basis)}
+        return encoded
+
+    def search_vectors(self, query: Sequence[float], k: int, radius: int = 24, version: int | None = None, entities: DataFrame | None = None) -> DataFrame:
+        """(entity, dot) of the nearest, of a version if one is given; entities narrows them (a lexical search's owners: a hybrid search)."""
+        if version is None and not self.vector_index:
+            version = self.snapshots.current()
+            if not version or "__basis__" not in self.snapshots.relations(version):
+                raise fulltext.IndexMissing("there is no vector index; build it first")
+        read = self.vector_index.__getitem__ if version is None else lambda n: self.snapshots.read(version, n)
+        basis = vector.read_basis(read("__basis__"))
+        own = self.spark.createDataFrame([([float(x) for x in query],)], "v array<double>").withColumn("entity", F.lit(0))
+        q = vector.encode(own, "entity", "v", basis).first()
+        return vector.rerank(read("__vectors__"), q.q, vector.candidates(read("__bands__"), q.bands, None, radius, entities), k)
+
+    def search_hybrid(self, text: str, query: Sequence[float], k: int, radius: int = 24) -> DataFrame:
+        """(entity, dot): vector candidates among the owners of the contents that a lexical search finds."""
+        own = fulltext.owners(self.live("observation"), self.search(text), every=True)
+        return self.search_vectors(query, k, radius, None, own.select("entity"))
 
     def check(self, text: str) -> list[str]:
         """Diagnostics of rule text: errors (line:column: message) first, then remarks."""
@@ -391,7 +522,7 @@ def select_goal(df: DataFrame, atom) -> DataFrame:
     first: dict[str, str] = {}
     for c, a in zip(df.columns, atom.args, strict=True):
         if isinstance(a, Const):
-            df = df.where(F.col(c).cast("string") == F.lit(str(a.value)))
+            df = Database.prefix_of(df, [a.value], [c])
         elif isinstance(a, Var):
             if a.name in first:
                 df = df.where(F.col(c).eqNullSafe(F.col(first[a.name])))

@@ -65,17 +65,18 @@ class Project:
     def build(self) -> int:
         """Checks, evaluates and publishes into .build; returns the version."""
         data = self.check()
-        db = self.database()
-        for name, df in data.items():
-            db.base[name] = df
-        db.rules = [r for r in self.rules() if r.body]
-        return db.publish()
+        with Database(self.spark, self.published(), null_safe=True) as db:
+            db.base.clear()
+            db.arity, db.rules = {n: len(r.columns) for n, r in self.schema.relations.items()}, [r for r in self.rules() if r.body]
+            for name, df in data.items():
+                db.base[name] = df
+            return db.publish()
+
+    def published(self) -> str:
+        return (self.folder / ".build").resolve().as_uri()
 
     def database(self) -> Database:
-        db = Database(self.spark, (self.folder / ".build").resolve().as_uri(), null_safe=True)
-        for n, r in self.schema.relations.items():
-            db.declare(n, len(r.columns))
-        return db
+        return Database(self.spark, self.published(), null_safe=True, read_only=True)
 
     def query(self, goal: str) -> DataFrame:
         atom = parse_goal(goal)

@@ -80,6 +80,23 @@ class Table:
         return Table(self.schema, [*self.paths, *other.paths], self.rows + other.rows)
 
 
+@dataclass
+class Given:
+    """A relation that is a table already, in the place of a written one."""
+
+    frame: DataFrame
+
+    @property
+    def schema(self) -> object:
+        return self.frame.schema
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        return self.frame
+
+    def plus(self, other: Table) -> Given:
+        return Given(self.frame.unionByName(other.df(self.frame.sparkSession)))
+
+
 def write(df: DataFrame, name: str, folder: str | None = None) -> Table:
     """Writes df once, into the scratch folder unless another is given; the rows are counted as they go by."""
     spark = df.sparkSession

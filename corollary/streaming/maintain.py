@@ -2,8 +2,8 @@
 
 Strata are taken in order, each with the additions and deletions of what it reads:
   additions to positive rules are joined with the rest, recursive strata go on from what they have;
-  deletions from positive rules without recursion over-delete what they had a part in, and put back what
-  other facts still give;
+  deletions from positive rules over-delete what they had a part in (in a loop where there is recursion),
+  and put back what other facts still give;
   aggregates are computed anew for the groups that changed;
   anything else is evaluated in full, and the difference goes on.
 Each way is counted, so that a test can tell which one was taken. Results equal a full evaluation.
@@ -21,6 +21,7 @@ from ..lang.checks import Stratum, stratify
 from ..plans.fixpoint import Evaluator, union, without
 from ..plans.rule_plan import RulePlan
 from ..store import scratch
+from ..store.relations import Relations
 
 if TYPE_CHECKING:
     from ..session import Database
@@ -31,60 +32,74 @@ Change = tuple[scratch.Table | None, scratch.Table | None]
 class Maintainer:
     def __init__(self, db: Database):
         self.db = db
-        self.plus: dict[str, list[DataFrame]] = {}
-        self.minus: dict[str, list[DataFrame]] = {}
-        self.rules = list(db.rules)
-        self.base = dict(db.base)
-        self.views = {k: self.keep(v, k) for k, v in db.evaluator().run().items() if v is not None}
+        self.since = 0  # the version that holds the views
+        self.start()
+
+    def start(self) -> None:
+        """Evaluates everything. Base relations that no rule defines aren't copied."""
+        db = self.db
+        self.rules, self.base, self.noted = list(db.rules), dict(db.base), Relations(db.spark, None)
+        heads = {db.key(r.head.rel, len(r.head.args)) for r in self.rules}
+        self.views = {k: self.keep(v, k) if k in heads else scratch.Given(v) for k, v in db.evaluator().run().items() if v is not None}
+        self.changes: dict[str, Change] = {}
 
     @staticmethod
     def keep(df: DataFrame, name: str) -> scratch.Table:
         return scratch.write(df, name.replace("/", "_"))
 
-    def note(self, name: str, df: DataFrame, sign: int) -> None:
-        """A change of the base; a later one of the same tuple overrides it."""
-        mine, other = (self.plus, self.minus) if sign > 0 else (self.minus, self.plus)
-        other[name] = [without(x, df) for x in other.get(name, [])]
-        mine.setdefault(name, []).append(df)
+    def noted_in(self, name: str, like: DataFrame) -> Relations:
+        if name not in self.noted:
+            self.noted[name] = self.db.spark.createDataFrame([], like.schema)
+            self.noted.own[name].rows = 1 << 60  # its changes are never worked in
+        return self.noted
+
+    def note(self, name: str, rows: list[tuple], sign: int) -> None:
+        """Changes of the base; a later one of the same tuple overrides an earlier one."""
+        like = self.db.base[name]
+        self.noted_in(name, like).change(name, rows, sign, like.schema)
+
+    def note_table(self, name: str, df: DataFrame, sign: int) -> None:
+        self.noted_in(name, self.db.base[name]).change_table(name, df, sign)
 
     def publish(self) -> dict[str, DataFrame]:
         spark, db = self.db.spark, self.db
         if self.rules != db.rules:
             db.counters["maintain_full"] += 1
-            self.rules = list(db.rules)
-            self.views = {k: self.keep(v, k) for k, v in db.evaluator().run().items() if v is not None}
-            self.plus, self.minus, self.base = {}, {}, dict(db.base)
+            self.start()
+            self.since = 0
             return {k: t.df(spark) for k, t in self.views.items()}
         old = dict(self.views)
         changes: dict[str, Change] = {}
         heads = {db.key(r.head.rel, len(r.head.args)) for r in self.rules}
         base_changes: dict[str, Change] = {}
-        for name in {*self.plus, *self.minus}:
-            was = self.base.get(name)
-            up, down = union(self.plus.get(name, [])), union(self.minus.get(name, []))
-            if up is not None:
-                up = self.keep(up.distinct() if was is None else without(up.distinct(), was), "plus")
-            if down is not None:
-                down = None if was is None else self.keep(down.distinct().join(was, was.columns, "left_semi"), "minus")
-            base_changes[name] = (up if up and up.rows else None, down if down and down.rows else None)
+        for name in list(self.noted):
+            was, noted = self.base.get(name), self.noted.difference(name)
+            if noted is None:
+                continue
+            up, down = (noted.where(f"sign {s} 0").drop("sign") for s in "><")
+            up = self.keep(up if was is None else without(up, was), "plus")
+            down = None if was is None else self.keep(down.join(was, [down[c].eqNullSafe(was[c]) for c in was.columns], "left_semi"), "minus")
+            base_changes[name] = (up if up.rows else None, down if down and down.rows else None)
             if name not in heads:
                 self.settle(name, base_changes[name], old, changes)
         for s in stratify(self.rules, db.variadic):
             self.stratum(s, old, changes, base_changes)
-        self.plus, self.minus, self.base = {}, {}, dict(db.base)
+        self.noted, self.base, self.changes = Relations(spark, None), dict(db.base), changes
         return {k: t.df(spark) for k, t in self.views.items()}
 
+    def unchanged(self) -> set[str]:
+        """Views that the last publication left as they were."""
+        return {n for n in self.views if not any(self.changes.get(n, (None, None)))}
+
+    def grown(self) -> dict[str, DataFrame]:
+        """What the last publication added to views that lost nothing."""
+        return {n: up.df(self.db.spark) for n, (up, down) in self.changes.items() if up and not down}
+
     def settle(self, name: str, change: Change, old: dict[str, scratch.Table], changes: dict[str, Change]) -> None:
         up, down = change
         if up is None and down is None:
             return
-        t = old.get(name)
-        if down is not None:
-            rest = without(t.df(self.db.spark), down.df(self.db.spark))
-            t = self.keep(rest if up is None else rest.unionByName(up.df(self.db.spark)), name)
-        elif up is not None:
-            t = up if t is None else t.plus(up)
-        self.views[name], changes[name] = t, (up, down)
+        self.views[name], changes[name] = scratch.Given(self.db.base[name]), (up, down)
 
     def evaluator(self, views: dict[str, scratch.Table]) -> Evaluator:
         e = Evaluator(self.db.spark, self.rules, dict(self.db.base), self.db.variadic, self.db.null_safe, self.db.counters, self.db.doubling)
@@ -105,6 +120,8 @@ class Maintainer:
             self.insert(s, old, changes, own)
         elif positive and not s.recursive and not own:
             self.delete(s, old, changes)
+        elif positive and s.recursive:
+            self.delete_recursive(s, old, changes, own)
         elif len(s.rules) == 1 and s.rules[0].aggregate() and not s.recursive and not own and not s.rules[0].ranges() and all(not a.negated for a in s.rules[0].atoms()):
             self.regroup(s, old, changes)
         else:
@@ -194,6 +211,60 @@ class Maintainer:
             self.views[n] = self.keep(total, n)
             changes[n] = (up if up and up.rows else None, down if down and down.rows else None)
 
+    def delete_recursive(self, s: Stratum, old: dict, changes: dict[str, Change], own: dict[str, Change]) -> None:
+        """Over-deletes in a loop all that a lost tuple had a part in, puts back what is still given in one step, and goes on from there."""
+        db, spark = self.db, self.db.spark
+        db.counters["maintain_delete_recursive"] += 1
+        before = self.evaluator(old)
+        gone: dict[str, scratch.Table] = {}
+        front = {n: c for n, c in changes.items() if c[1] is not None}
+        lost = {n: [c[1].df(spark)] for n, c in own.items() if c[1] is not None}
+        while front or lost:
+            for n, parts in self.parts(s, before, front, 1).items():
+                lost.setdefault(n, []).extend(parts)
+            front = {}
+            for n, parts in lost.items():
+                if n not in old:
+                    continue
+                was = old[n].df(spark)
+                df = union(parts).distinct()
+                df = df.join(was, [df[c].eqNullSafe(was[c]) for c in was.columns], "left_semi")
+                new = self.keep(df if n not in gone else without(df, gone[n].df(spark)), "over")
+                if new.rows:
+                    gone[n] = new if n not in gone else gone[n].plus(new)
+                    front[n] = (None, new)
+            lost = {}
+        rest = {n: self.keep(without(old[n].df(spark), gone[n].df(spark)), n) if n in gone else old.get(n) for n in s.relations}
+        now = self.evaluator(self.views | {n: t for n, t in rest.items() if t is not None})
+        again: dict[str, list[DataFrame]] = {n: [up.df(spark)] for n, (up, _) in own.items() if up}
+        for n, parts in self.parts(s, now, changes, 0).items():
+            again.setdefault(n, []).extend(parts)
+        for n, t in gone.items():
+            over = t.df(spark)
+            for r in (r for r in s.rules if db.key(r.head.rel, len(r.head.args)) == n):
+                df = now.rule(r, distinct=False)
+                if df is not None:
+                    again.setdefault(n, []).append(df.join(over, [df[c].eqNullSafe(over[c]) for c in over.columns], "left_semi"))
+            if n in db.base:
+                kept = db.base[n]
+                again.setdefault(n, []).append(kept.join(over, [kept[c].eqNullSafe(over[c]) for c in over.columns], "left_semi"))
+        seeds = {}
+        for n in s.relations:
+            have, found = rest[n], union(again.get(n, []))
+            if found is None:
+                if have is not None:
+                    seeds[n] = (have, scratch.Table(have.schema, [], 0))
+                continue
+            new = self.keep(found.distinct() if have is None else without(found.distinct(), have.df(spark)), n)
+            seeds[n] = (new if have is None else have.plus(new), new)
+        for n, df in self.evaluator(self.views).loop(s, seeds).items():
+            if df is None:
+                continue
+            view, was = self.keep(df, n), old.get(n)
+            up = view if was is None else self.keep(without(view.df(spark), was.df(spark)), "plus")
+            down = self.keep(without(gone[n].df(spark), view.df(spark)), "minus") if n in gone else None
+            self.views[n], changes[n] = view, (up if up.rows else None, down if down and down.rows else None)
+
     def regroup(self, s: Stratum, old: dict, changes: dict[str, Change]) -> None:
         db, n, rule = self.db, s.relations[0], s.rules[0]
         db.counters["maintain_groups"] += 1
@@ -244,5 +315,6 @@ def ingest(stream: DataFrame, db: Database, name: str, checkpoint: str, sign: in
         if rows.rows:
             db.apply_table(db.key(name, len(df.columns)), rows.df(db.spark), sign)
             db.publish()
+        scratch.drop(db.spark, *rows.paths)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
-from corollary.lang.ast import ArityError, SafetyError
+from corollary.lang.ast import ArityError, SafetyError, TypingError
 from corollary.session import Database, UnknownRelation
+from corollary.store import relations, scratch
+from corollary.store.relations import Locked
 from corollary.store.snapshots import VersionError
 from corollary.store.transactions import Conflict, TransactionError
 from corollary.streaming.maintain import ingest
@@ -94,7 +96,8 @@ def test_transactions(spark, rows):
 
 PROGRAMS = [
     ("r(X,Y) :- edge(X,Z), edge(Z,Y).", "r", "maintain_insert", "maintain_delete"),
-    (TC, "tc", "maintain_insert_recursive", "maintain_recompute"),
+    (TC, "tc", "maintain_insert_recursive", "maintain_delete_recursive"),
+    ("odd(X,Y) :- edge(X,Y). odd(X,Y) :- even(X,Z), edge(Z,Y). even(X,Y) :- odd(X,Z), edge(Z,Y).", "even", "maintain_insert_recursive", "maintain_delete_recursive"),
     ("n(X,N) :- edge(X,Y), N = count().", "n", "maintain_groups", "maintain_groups"),
     ("s(N) :- edge(X,Y), N = sum(Y).", "s", "maintain_groups", "maintain_groups"),
     ("o(X) :- edge(X,Y), !edge(Y,X).", "o", "maintain_recompute", "maintain_recompute"),
@@ -129,3 +132,155 @@ def test_stream(spark, rows, tmp_path):
     stream = spark.readStream.schema("a long, b long").parquet(str(tmp_path / "in"))
     ingest(stream, db, "edge", str(tmp_path / "checkpoint")).awaitTermination(120)
     assert (1, 4) in rows(db.query("tc"))
+
+
+def size_of(df):
+    return len(df._jdf.queryExecution().logical().toString())
+
+
+def test_many_facts_keep_the_plan_small(spark, rows):
+    db = Database(spark)
+    db.facts("e", [(i, i) for i in range(10)])
+    for i in range(10, 14):
+        assert db.add_fact("e", i, i) == 1
+    first = size_of(db.live("e"))
+    for i in range(14, 40):
+        db.change("e", [(i, i)], [(i - 10, i - 10)])
+    assert size_of(db.live("e")) <= first + 200
+    assert rows(db.live("e")) == [(i, i) for i in (*range(4), *range(30, 40))]
+    with pytest.raises(TypingError):
+        db.change("e", [("x", 1)], [])
+
+
+def test_changes_are_written_and_worked_in(spark, rows, monkeypatch):
+    monkeypatch.setattr(relations, "PENDING", 3)
+    rng = random.Random(1)
+    db, have = Database(spark), {(i,) for i in range(20)}
+    db.facts("e", sorted(have))
+    for _ in range(6):
+        plus, minus = {(rng.randrange(30),) for _ in range(3)}, {(rng.randrange(30),) for _ in range(3)}
+        minus -= plus
+        db.change("e", sorted(plus), sorted(minus))
+        have = (have | plus) - minus
+        assert rows(db.live("e")) == sorted(have)
+
+
+def test_opening_again(spark, rows, tmp_path):
+    folder = f"file://{tmp_path}/db"
+    db = Database(spark, folder)
+    db.facts("edge", [(1, 2), (2, 3)])
+    db.declare("v", 0)
+    db.load_rules(TC + " edge(3, 4).")
+    assert db.declare_perm("edge", [1, 0]) == 0
+    v1 = db.publish()
+    db.add_fact("edge", 7, 8)
+    db.delete_fact("edge", 1, 2)
+    db.cas_revision("a", 0, 3)
+    with pytest.raises(Locked):
+        Database(spark, folder)
+    seen = Database(spark, folder, read_only=True)
+    assert seen.lookup("edge", 7, 8)
+    with pytest.raises(Locked):
+        seen.add_fact("edge", 9, 9)
+    db.base.close()  # as if it had died after its last call
+    again = Database(spark, folder)
+    assert rows(again.live("edge")) == [(2, 3), (3, 4), (7, 8)] and again.rev_get("a") == 3
+    assert again.find_perm("edge", [1, 0]) == 0 and "v" in again.variadic and len(again.rules) == 2
+    assert rows(again.query_version(v1, "tc")) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+    v2 = again.publish()
+    assert rows(again.query("tc")) == [(2, 3), (2, 4), (3, 4), (7, 8)] and again.versions() == [v1, v2]
+    again.close()
+    last = Database(spark, folder)
+    assert rows(last.live("edge")) == [(2, 3), (3, 4), (7, 8)] and not last.base.files.names("log")
+    last.close()
+    with pytest.raises(Locked):
+        last.add_fact("edge", 1, 1)
+
+
+def test_a_transaction_is_logged_whole(spark, rows, tmp_path):
+    folder = f"file://{tmp_path}/db"
+    with Database(spark, folder) as db:
+        db.facts("e", [(1, 2)])
+        t = db.begin()
+        t.add("e", 5, 6)
+        t.delete("e", 1, 2)
+        t.cas("x", 0, 1)
+        t.commit()
+        t = db.begin()
+        t.add("e", 8, 8)
+        t.cas("x", 0, 2)
+        with pytest.raises(Conflict):
+            t.commit()
+    with Database(spark, folder) as db:
+        assert rows(db.live("e")) == [(5, 6)] and db.rev_get("x") == 1
+    (tmp_path / "db" / "log" / "000000000099.json.new").write_text('{"changes": [["e", [9')  # a write that was cut off
+    with Database(spark, folder, break_lock=True) as db:
+        assert rows(db.live("e")) == [(5, 6)]
+
+
+def test_versions_share_tables(spark, rows, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    db.facts("edge", [(1, 2), (2, 3)])
+    db.facts("other", [(1,)])
+    db.load_rules(TC)
+    db.maintain()
+    versions = [db.publish()]
+    for i in range(3, 6):
+        db.add_fact("edge", i, i + 1)
+        versions.append(db.publish())
+    tables = [db.snapshots._manifest(v) for v in versions]
+    assert len({str(m["other"]) for m in tables}) == 1  # never written again
+    assert [len(m["tc"]["tables"]) for m in tables] == [1, 2, 3, 4]
+    assert [db.query_version(v, "tc").count() for v in versions] == [3, 6, 10, 15]
+    db.delete_fact("edge", 1, 2)
+    versions.append(db.publish())
+    assert len(db.snapshots._manifest(versions[-1])["tc"]["tables"]) == 1 and db.query("tc").count() == 10
+    db.set_retain(1)
+    db.publish()
+    assert rows(db.query("tc")) == rows(db.derive("tc")) and len(db.snapshots.files.names("tables")) <= 4
+    db.close()
+
+
+def test_stream_of_many_batches(spark, rows, tmp_path):
+    db = Database(spark)
+    db.facts("edge", [(0, 1)])
+    db.load_rules("two(X,Y) :- edge(X,Z), edge(Z,Y).")
+    for i in range(1, 9):
+        spark.createDataFrame([(i, i + 1)], "a long, b long").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema("a long, b long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    ingest(stream, db, "edge", str(tmp_path / "checkpoint")).awaitTermination(240)
+    assert rows(db.query("two")) == [(i, i + 2) for i in range(8)]
+    assert size_of(db.live("edge")) < 3000 and len(db.versions()) == 8
+
+
+def test_search_as_of_a_version(spark, rows, tmp_path):
+    folder = f"file://{tmp_path}/db"
+    db = Database(spark, folder)
+    db.facts("observation", [("a", "red fox"), ("b", "red dog")])
+    db.build_index()
+    vectors = lambda n: spark.createDataFrame([(i, [float(i == j) + 0.01 * i for j in range(16)]) for i in range(n)], "e long, v array<double>")
+    db.build_vectors(vectors(4), 16)
+    v1 = db.publish()
+    db.add_fact("observation", "c", "red cat")
+    db.build_index()
+    db.build_vectors(vectors(6), 16)
+    v2 = db.publish()
+    v3 = db.publish()
+    assert db.snapshots._manifest(v2)["__postings__"] == db.snapshots._manifest(v3)["__postings__"]
+    query = [float(j == 5) for j in range(16)]
+    for d in (db, Database(spark, folder, read_only=True)):
+        assert rows(d.search("red", version=v1)) == [("red dog", 1), ("red fox", 1)] and d.search("red").count() == 3
+        assert d.search_vectors(query, 1).first()["entity"] == 5
+        assert {r.entity for r in d.search_vectors(query, 9, 16, version=v1).collect()} == {0, 1, 2, 3}
+    assert [r.entity for r in db.search_vectors(query, 9, 16, entities=spark.createDataFrame([(2,)], "e long")).collect()] == [2]
+    db.close()
+
+
+def test_scratch_goes(spark):
+    import os
+
+    t = scratch.write(spark.range(3).toDF("c0"), "x")
+    path = t.paths[0].removeprefix("file://")
+    assert os.path.isdir(path)
+    scratch.drop(spark, *t.paths)
+    assert not os.path.isdir(path)
