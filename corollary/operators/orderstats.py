@@ -58,7 +58,7 @@ def range_count(df: DataFrame, low: Sequence, high: Sequence, leading: Sequence
     return within(df, leading).where(before(names, at(high)) & ~before(names, at(low))).agg(F.count(F.lit(1)).alias("n"))
 
 
-FEW, CUTS = 10_000, 64  # tuples that are sorted to find one; ranges into which the others are counted
+FEW, CUTS = 100_000, 16  # tuples that are sorted to find one; ranges into which the others are counted
 
 
 def select(df: DataFrame, k: int, leading: Sequence = (), perm: Sequence[int] | None = None) -> DataFrame:

@@ -75,6 +75,14 @@ def fit_basis(vectors: DataFrame, column: str, bits: int, rounds: int = 50, seed
     return Basis(lead @ rotation, float(127 / max(most, 1e-12)))
 
 
+def scale_only(vectors: DataFrame, column: str) -> Basis:
+    """The int8 form's scale, and 16 bits of no use: what an exact scan needs. One pass, one number."""
+    most = vectors.agg(F.max(F.array_max(F.transform(column, lambda x: F.abs(x.cast("double"))))), F.max(F.size(column))).first()
+    if most[1] is None or most[1] < 1:
+        raise ValueError("no vectors")
+    return Basis(np.zeros((most[1], BAND_BITS)), float(127 / max(most[0], 1e-12)))
+
+
 def basis_table(spark: SparkSession, basis: Basis) -> DataFrame:
     """(place, row): the matrix's rows in order, and at -1 the scale."""
     return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(basis.matrix)] + [(-1, [basis.scale])], "place int, row array<double>")

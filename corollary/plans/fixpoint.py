@@ -11,9 +11,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..lang.ast import Atom, Rule, TypingError, Var
 from ..lang.checks import Stratum, key, stratify
@@ -62,6 +67,93 @@ def closure_of(stratum: Stratum, base: dict[str, DataFrame]) -> Atom | None:
     return None
 
 
+#: So many edges of two columns are searched at the driver; so many tuples of a round stay there instead of being written.
+DRIVER_EDGES, SMALL = 1_000_000, 5_000
+
+
+def reached(edges: DataFrame, start, forward: bool) -> DataFrame:
+    """(c0, c1): pairs of the closure of edges (c0, c1) whose first (else second) member is start.
+
+    A frontier, not pairs: a counted edge table of at most DRIVER_EDGES rows is searched at the driver, others
+    by joins, one a step, over written frontiers.
+    """
+    spark = edges.sparkSession
+    src, dst = ("c0", "c1") if forward else ("c1", "c0")
+    kind = edges.schema[src].dataType
+    own = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+    schema = T.StructType([T.StructField("b", kind)])
+    if own.limit(DRIVER_EDGES + 1).count() <= DRIVER_EDGES:
+        table = own.toArrow()
+        names, code = np.unique(np.concatenate([table.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]), return_inverse=True)
+        n = table.num_rows
+        order = np.argsort(code[:n], kind="stable")
+        to, at = code[n:][order], np.searchsorted(code[:n][order], np.arange(len(names) + 1))
+        i = int(np.searchsorted(names, start)) if len(names) else 0
+        seen, front = np.zeros(len(names), bool), np.array([i] if i < len(names) and names[i] == start else [], np.int64)
+        while len(front):
+            many = at[front + 1] - at[front]
+            new = np.unique(to[np.repeat(at[front] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))])
+            front = new[~seen[new]]
+            seen[front] = True
+        found = spark.createDataFrame([(x,) for x in names[seen].tolist()], schema)
+    else:
+        known = front = scratch.write(own.where(F.col("a") == F.lit(start).cast(kind)).select("b").distinct(), "front")
+        while front.rows:
+            step = own.join(front.df(spark).withColumnRenamed("b", "a"), "a", "left_semi").select("b").distinct()
+            front = scratch.write(step.join(known.df(spark), "b", "left_anti"), "front")
+            known = known.plus(front) if front.rows else known
+        found = known.df(spark)
+    ends = (F.lit(start).cast(kind), F.col("b")) if forward else (F.col("b"), F.lit(start).cast(kind))
+    return found.select(ends[0].alias("c0"), ends[1].alias("c1"))
+
+
+@dataclass
+class Held:
+    """A small relation at the driver, in the place of a written one."""
+
+    schema: object
+    table: pa.Table
+
+    @property
+    def rows(self) -> int:
+        return self.table.num_rows
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.table, self.schema)
+
+
+@dataclass
+class Sum:
+    """A written relation and a small one that goes on from it."""
+
+    written: scratch.Table | None
+    held: Held | None
+
+    @property
+    def schema(self) -> object:
+        return (self.written or self.held).schema
+
+    @property
+    def rows(self) -> int:
+        return sum(x.rows for x in (self.written, self.held) if x)
+
+    @property
+    def paths(self) -> list[str]:
+        return self.written.paths if self.written else []
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x.df(spark) for x in (self.written, self.held) if x])
+
+
+def put(df: DataFrame, name: str, small: bool) -> scratch.Table | Held:
+    """The tuples of a round: at the driver if they are expected to be few and are, else written."""
+    if small:
+        table = df.limit(SMALL + 1).toArrow()
+        if table.num_rows <= SMALL:
+            return Held(df.schema, table)
+    return scratch.write(df, name)
+
+
 class Evaluator:
     """views holds every relation that is known: base and, once run, derived ones."""
 
@@ -135,12 +227,22 @@ class Evaluator:
             total, delta = self.grow(total, without(cand.distinct(), known), name)
         return {name: total.df(self.spark)}
 
-    def grow(self, total: scratch.Table, new: DataFrame, name: str) -> tuple[scratch.Table, scratch.Table]:
-        delta = scratch.write(new, name)
-        total = total.plus(delta) if delta.rows else total
-        if len(total.paths) > COMPACT_PARTS:
-            total = scratch.write(total.df(self.spark), name)
-        return total, delta
+    def grow(self, total, new: DataFrame, name: str, small: bool = False) -> tuple:
+        """What is known with what is new, and the latter. Small rounds stay at the driver until they are many."""
+        delta = put(new, name, small)
+        if not delta.rows:
+            return total, delta
+        written, held = (total.written, total.held) if isinstance(total, Sum) else (None, total) if isinstance(total, Held) else (total, None)
+        if isinstance(delta, Held):
+            held = Held(delta.schema, pa.concat_tables([held.table, delta.table.cast(held.table.schema)])) if held else delta
+            if held.rows > SMALL:
+                own = scratch.write(held.df(self.spark), name)
+                written, held = own if written is None else written.plus(own), None
+        else:
+            written = delta if written is None else written.plus(delta)
+        if written is not None and len(written.paths) > COMPACT_PARTS:
+            written = scratch.write(written.df(self.spark), name)
+        return Sum(written, held), delta
 
     def loop(self, s: Stratum, seeds: dict[str, tuple[scratch.Table, scratch.Table]] | None = None) -> dict[str, DataFrame | None]:
         """seeds: for a start that isn't from nothing, what is known and what of it is new."""
@@ -157,7 +259,7 @@ class Evaluator:
                 own = [r for r in s.rules if self.key(r.head) == n and r not in recursive]
                 df = union([self.base.get(n), *(self.rule(r, lambda _, a: outer(a), distinct=False) for r in own)])
                 if df is not None:
-                    total[n] = delta[n] = scratch.write(df.distinct(), n.replace("/", "_"))
+                    total[n] = delta[n] = put(df.distinct(), n.replace("/", "_"), True)
         else:
             total, delta = {n: t for n, (t, _) in seeds.items()}, {n: d for n, (_, d) in seeds.items()}
         for _ in range(MAX_ROUNDS):
@@ -184,9 +286,10 @@ class Evaluator:
             grown = dict(total)
             for n, parts in found.items():
                 cand = union([*parts, *([total[n].df(self.spark).limit(0)] if n in total else [])]).distinct()
+                few = all(d.rows <= SMALL for d in delta.values())
                 if n in total:
-                    grown[n], fresh[n] = self.grow(total[n], without(cand, total[n].df(self.spark)), n.replace("/", "_"))
+                    grown[n], fresh[n] = self.grow(total[n], without(cand, total[n].df(self.spark)), n.replace("/", "_"), few)
                 else:
-                    grown[n] = fresh[n] = scratch.write(cand, n.replace("/", "_"))
+                    grown[n] = fresh[n] = put(cand, n.replace("/", "_"), few)
             total, delta = grown, fresh
         raise RuntimeError(f"{s.relations} don't come to an end")

@@ -41,6 +41,35 @@ def same_tuple(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's estimate of the size is within its own limit for a broadcast."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
+def dyadic_join(df: DataFrame, values: DataFrame, low: Column, high: Column, bits: int = 32) -> DataFrame:
+    """df with each __value of values in [low, high), as an equi-join.
+
+    An interval is made of at most two aligned blocks of each size 2**level, and a value lies in one block of
+    each size: they meet in exactly one. So work follows rows and results, never rows times values.
+    """
+    down, up = (lambda c, k, f=f: F.call_function(f, c, k) for f in ("shiftright", "shiftleft"))
+    level = lambda k: down(F.col("__lo") + (up(F.lit(1).cast("long"), k) - 1), k)
+
+    def blocks(k: Column) -> Column:
+        a, b = level(k), down(F.col("__hi"), k)
+        left = F.when((a < b) & (a % 2 == 1), a)
+        right = F.when((a < b) & (b % 2 == 1) & ((b - 1 > a) | (a % 2 == 0)), b - 1)
+        return F.array(F.struct(k.alias("__level"), left.alias("__block")), F.struct(k.alias("__level"), right.alias("__block")))
+
+    levels = F.sequence(F.lit(0), F.lit(bits))
+    top = F.lit(1 << bits)
+    inside = df.withColumn("__lo", F.greatest(low, F.lit(0))).withColumn("__hi", F.least(high, top)).where("__lo < __hi")
+    inside = inside.withColumn("__at", F.explode(F.flatten(F.transform(levels, blocks)))).where("__at.__block is not null")
+    own = values.select("__value", F.explode(F.transform(levels, lambda k: F.struct(k.alias("__level"), down(F.col("__value"), k).alias("__block")))).alias("__at"))
+    return inside.join(own, "__at").drop("__at", "__lo", "__hi")
+
+
 class RulePlan:
     def __init__(self, spark: SparkSession, rule: Rule, read: Callable[[int, Atom], DataFrame | None], ranges: Relations, null_safe: bool = False):
         """read(i, atom) gives the relation for the i-th atom of the body, negated ones counted too."""
@@ -164,10 +193,15 @@ class RulePlan:
             k = max(range(len(left)), key=lambda k: (len(self.bound & set(variables(left[k][1]))), -k)) if self.df is not None else 0
             _, x, df = left.pop(k)
             own = list(dict.fromkeys(variables(x)))
+            shared = [v for v in own if v in self.bound]
             if self.df is None:
                 self.df = df
+            elif self.rule.aggregate() is None and not (set(own) - self.bound) & self.read_later(x, [y for _, y, _ in left]):
+                # Nothing of it is needed but that it is there; an aggregate would count its tuples.
+                self.join(df.select(*(self.name(v) for v in shared)) if shared else df, shared, "left_semi")
+                own = shared
             else:
-                self.join(df, [v for v in own if v in self.bound])
+                self.join(df, shared)
             self.bound |= set(own)
         if self.df is None:
             self.df = self.spark.range(1).select(F.lit(1).alias("__one"))
@@ -181,6 +215,11 @@ class RulePlan:
                     self.join(self.relation(x, df), own, "left_anti")
         return True
 
+    def read_later(self, atom: Atom, left: list[Atom]) -> set[str]:
+        """Variables of the head, of the atoms still to be joined, and of everything but positive atoms."""
+        others = [x for x in self.rule.body if not isinstance(x, Atom) or x.negated]
+        return {v for x in (self.rule.head, *left, *others) for v in variables(x)}
+
     def equality(self, x: Equal) -> None:
         a, b = x.left, x.right
         if isinstance(a, ListTerm) and not set(variables(a)) <= self.bound:
@@ -269,6 +308,11 @@ class RulePlan:
                 values = values.where(keep(literal(bound.value)))
         inside = (v >= low) & (v < high)
         if isinstance(item, Var) and item.name not in self.bound:
+            variable = not (isinstance(lo, Const) and isinstance(hi, Const))
+            if variable and isinstance(values.schema["__value"].dataType, T.LongType) and not fits_broadcast(values):
+                self.df = dyadic_join(self.df, values, low, high).withColumnRenamed("__value", self.name(item.name))
+                self.bound.add(item.name)
+                return
             self.df = self.df.join(values, inside).withColumnRenamed("__value", self.name(item.name))
             self.bound.add(item.name)
         else:

@@ -199,7 +199,7 @@ class Database:
 
     def apply(self, changes: list[tuple[str, tuple, int]], note: bool = True) -> None:
         for k, rows, sign in self.grouped(changes):
-            self.base.change(k, rows, sign, self.base[k].schema if k in self.base else self.rows(rows).schema)
+            self.base.change(k, rows, sign, self.base.schema(k) or self.rows(rows).schema)
         if note:
             self.note(changes)
 

@@ -38,7 +38,7 @@ class Project:
         out: dict[str, DataFrame] = {}
         problems: list[str] = []
         for p in sorted((self.folder / "data").iterdir()):
-            if p.suffix not in (".csv", ".json"):
+            if p.suffix not in (".csv", ".json", ".jsonl"):
                 continue
             try:
                 if p.stem not in self.schema.relations:

@@ -97,8 +97,19 @@ def _list_cell(c: Column) -> Column:
     return F.when(c.rlike(r"(?s)\A\s*\[.*\]\s*\z"), F.when(F.trim(inner) == "", F.lit("[]")).otherwise(F.to_json(clean)))
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(value, place): the lines of a file with their numbers, read in blocks: those before a block are counted, not read by one task."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    before, total = [], 0
+    for block, first, n in sorted(lines.groupBy("block").agg(F.min("id"), F.count(F.lit(1))).collect()):
+        before.append((block, total - first + 1))
+        total += n
+    shift = spark.createDataFrame(before, "block long, shift long")
+    return lines.join(F.broadcast(shift), "block").select("value", (F.col("id") + F.col("shift")).alias("place"))  # a row for each block of a file
+
+
 def read_csv(spark: SparkSession, path: str, relation: TypedRelation) -> DataFrame:
-    lines = spark.read.text(path).coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    lines = _numbered(spark, path)
     head = lines.where("place = 1").select(csv.fields(F.regexp_replace("value", r"\r$", ""))).first()
     names = [n for n, _ in relation.columns]
     header = list(head[0]) if head else []
@@ -158,8 +169,18 @@ def json_rows(text: str, columns: list[tuple[str, ColumnType]]) -> Iterator[tupl
 
 
 def read_json(spark: SparkSession, path: str, relation: TypedRelation) -> DataFrame:
+    """An array of objects is one document, and so one task's; a file of lines (.jsonl), each an object, is read in blocks."""
     columns = list(relation.columns)
 
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p - 1, *next(json_rows(f"[{text}]", columns), (0, [], "not an object"))[1:]) for text, p in zip(f["value"], f["place"], strict=True)]
+            yield pd.DataFrame(rows, columns=["place", "cells", "error"]).astype({"place": "int64", "error": object})
+
+    if path.endswith(".jsonl"):
+        lines = _numbered(spark, path).where(F.trim("value") != "")
+        return _checked(lines.mapInPandas(each, "place long, cells array<string>, error string"), relation, path)
+
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for text in f["value"]:

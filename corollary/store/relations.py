@@ -160,6 +160,9 @@ class Relations(MutableMapping):
                     r.view = self._over(r.view, over)
         return r.view
 
+    def schema(self, k: str) -> T.StructType | None:
+        return self.own[k].kept.schema if k in self.own else None
+
     def __setitem__(self, k: str, df: DataFrame) -> None:
         self.writable()
         self.own[k] = Relation(df)

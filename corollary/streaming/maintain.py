@@ -15,6 +15,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..lang.ast import Atom, Rule
 from ..lang.checks import Stratum, stratify
@@ -47,19 +48,19 @@ class Maintainer:
     def keep(df: DataFrame, name: str) -> scratch.Table:
         return scratch.write(df, name.replace("/", "_"))
 
-    def noted_in(self, name: str, like: DataFrame) -> Relations:
+    def noted_in(self, name: str, schema: T.StructType) -> Relations:
         if name not in self.noted:
-            self.noted[name] = self.db.spark.createDataFrame([], like.schema)
+            self.noted[name] = self.db.spark.createDataFrame([], schema)
             self.noted.own[name].rows = 1 << 60  # its changes are never worked in
         return self.noted
 
     def note(self, name: str, rows: list[tuple], sign: int) -> None:
         """Changes of the base; a later one of the same tuple overrides an earlier one."""
-        like = self.db.base[name]
-        self.noted_in(name, like).change(name, rows, sign, like.schema)
+        schema = self.db.base.schema(name)
+        self.noted_in(name, schema).change(name, rows, sign, schema)
 
     def note_table(self, name: str, df: DataFrame, sign: int) -> None:
-        self.noted_in(name, self.db.base[name]).change_table(name, df, sign)
+        self.noted_in(name, self.db.base.schema(name)).change_table(name, df, sign)
 
     def publish(self) -> dict[str, DataFrame]:
         spark, db = self.db.spark, self.db
