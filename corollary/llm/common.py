@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..store import scratch
 
 #: A join side is broadcast only when it has been counted and has at most so many rows of a few longs.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -236,16 +236,13 @@ class _Matcher:
 _built: dict[tuple, _Matcher] = {}
 
 
-def _matcher(items: list, min_words: int, min_coverage: float, floor: int, name: str | None = None) -> _Matcher:
-    """A worker keeps the matchers of the last few names."""
-    key = (name, min_words, min_coverage, floor)
-    if name is None or key not in _built:
-        while len(_built) >= 8:
-            _built.pop(next(iter(_built)))
-        made = _Matcher(items, min_words, min_coverage, floor)
-        if name is None:
-            return made
-        _built[key] = made
+def _matcher(items: list, min_words: int, min_coverage: float, floor: int, name: str, group: int) -> _Matcher:
+    """A worker keeps the matchers of one call."""
+    key = (name, group)
+    if key not in _built:
+        for old in [k for k in _built if k[0] != name]:
+            del _built[old]
+        _built[key] = _Matcher(items, min_words, min_coverage, floor)
     return _built[key]
 
 
@@ -263,11 +260,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = M
     schema = "doc_id long, item_id long, start int, end int, n_words int, coverage double"
     base = id_text(docs)
 
-    def one_pass(items: list) -> DataFrame:
-        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    name = uuid.uuid4().hex
+
+    def one_pass(group: int, items: list) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = _matcher(shared.value, min_words, min_coverage, floor, name)
+            find = _matcher(shared.value, min_words, min_coverage, floor, name, group)
             for b in pieces(batches):
                 words, original = Words(b.column(1)), None
                 rows = []
@@ -280,7 +279,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = M
 
         return base.mapInArrow(match, schema)
 
-    passes = [one_pass(g) for g in _groups(_normalised(benchmark), group_words)]
+    passes = [one_pass(i, g) for i, g in enumerate(_groups(_normalised(benchmark), group_words))]
     return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -292,7 +291,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     text_type = docs.schema["text"].dataType
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [_matcher(g, min_words, min_coverage, floor, f"{name}-{i}") for i, g in enumerate(shared.value)]
+        finders = [_matcher(g, min_words, min_coverage, floor, name, i) for i, g in enumerate(shared.value)]
         for b in pieces(batches, column="text"):
             k = b.schema.get_field_index("text")
             words = Words(b.column(k))

@@ -52,9 +52,9 @@ class Encoder:
 
     def _clear(self) -> None:
         self.key = np.zeros(1 << SLOT_BITS, U)
-        self.at, self.n = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.at, self.n = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int16)
         self.ids, self.used = np.zeros(1 << 16, "<u2"), 0
-        self.size, self.place = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+        self.size, self.place = np.zeros(1 << SLOT_BITS, np.int8), np.zeros(1 << SLOT_BITS, np.int32)
         self.bytes, self.held = np.zeros(1 << 16, np.uint8), 0
 
     def _add(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,7 @@ class Encoder:
         known = np.flatnonzero(hit)
         held = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
         hit[known] = same(eight, start[known], size[known], held, self.place[slot[known]])
-        at, n = self.at[slot], self.n[slot]
+        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int32)
         miss = np.flatnonzero(~hit)
         if len(miss):
             _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
