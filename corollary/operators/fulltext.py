@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,33 +32,57 @@ def postings(observation: DataFrame) -> DataFrame:
     return observation.select(content.alias("content")).select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"), "content").distinct()
 
 
-BUCKETS = 64
+#: More hits than this are joined with the contents by a shuffle instead of a broadcast (they are counted).
+BROADCAST = 250_000
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+@dataclass
+class Index:
+    """Written postings (term, id) and contents (id, content): each content is there once for each row that has it, not once for each of its terms."""
 
+    postings: DataFrame
+    contents: DataFrame
+    paths: dict[str, list[str]] = field(default_factory=dict)
 
-def write_postings(observation: DataFrame) -> DataFrame:
-    """Postings as a table: a folder for each bucket of terms, so that a search reads its terms' buckets only."""
+    def relations(self) -> dict[str, DataFrame]:
+        return {"__postings__": self.postings, "__contents__": self.contents}
+
+
+def write_postings(observation: DataFrame, folder: str | None = None, onto: Index | None = None) -> Index:
+    """Contents, numbered, and their postings, sorted by term within each file, so that a search reads its terms' pages only.
+
+    Nothing is shuffled: a file has the postings of some contents. onto: an index that these contents are added to.
+    """
     spark = observation.sparkSession
-    path = f"{scratch.root(spark)}/postings-{uuid.uuid4().hex}"
-    own = postings(observation).withColumn("bucket", bucket(F.col("term")))
-    own.repartition("bucket", F.pmod(F.xxhash64("content"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-    return spark.read.schema("term string, content string, bucket int").parquet(path)
+    folder, own = folder or scratch.root(spark), uuid.uuid4().hex
+    paths = {n: [*(onto.paths[n] if onto else ()), f"{folder}/{n}-{own}"] for n in ("__postings__", "__contents__")}
+    read = lambda n, *at: spark.read.schema({"__postings__": "term string, id long", "__contents__": "id long, content string"}[n]).parquet(*at)
+    new = {n: at[-1] for n, at in paths.items()}
+    segment = F.lit(len(paths["__postings__"]) - 1 << 54)  # ids of one job are below
+    content = F.col(observation.columns[1])
+    observation.where(content.isNotNull()).select((F.monotonically_increasing_id() + segment).alias("id"), content.alias("content")).write.parquet(new["__contents__"])
+    terms = read("__contents__", new["__contents__"]).select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"), "id")
+    terms.sortWithinPartitions("term", "id").write.parquet(new["__postings__"])
+    return Index(read("__postings__", *paths["__postings__"]), read("__contents__", *paths["__contents__"]), paths)
 
 
-def search(index: DataFrame | None, query: str, top: int | None = None) -> DataFrame:
+def search(index: DataFrame | Index | None, query: str, top: int | None = None) -> DataFrame:
     """(content, score) of the contents that hold every term; the score is the number of query terms, repeats included."""
     if index is None:
         raise IndexMissing("there is no index; build postings first")
     terms = query_terms(query)
     wanted = sorted(set(terms))
-    hits = index.where(F.col("term").isin(wanted) if wanted else F.lit(False))
-    if wanted and "bucket" in index.columns:
-        own = index.sparkSession.range(1).select(*(bucket(F.lit(t)) for t in wanted)).first()
-        hits = hits.where(F.col("bucket").isin(sorted(set(own))))
-    found = hits.groupBy("content").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("content", F.lit(len(terms)).alias("score"))
+    own = index.postings if isinstance(index, Index) else index
+    hits = own.where(F.col("term").isin(wanted) if wanted else F.lit(False))
+    if wanted and "bucket" in own.columns:  # a table of versions that were written with contents in postings
+        at = own.sparkSession.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(64)).cast("int") for t in wanted)).first()
+        hits = hits.where(F.col("bucket").isin(sorted(set(at))))
+    key = "id" if isinstance(index, Index) else "content"
+    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select(key)
+    if isinstance(index, Index):
+        found = F.broadcast(found) if found.limit(BROADCAST + 1).count() <= BROADCAST else found
+        found = index.contents.join(found, "id", "left_semi").select("content").distinct()
+    found = found.select("content", F.lit(len(terms)).alias("score"))
     return found if top is None else found.orderBy(F.desc("score"), "content").limit(top)
 
 

@@ -19,7 +19,7 @@ from .plans.fixpoint import Evaluator, closure_of, reached, union
 from .sources import csv
 from .store import scratch
 from .store.relations import Relations
-from .store.snapshots import Snapshots
+from .store.snapshots import MOST_TABLES, Snapshots
 from .store.transactions import Transactions
 from .streaming.maintain import Maintainer
 
@@ -54,7 +54,9 @@ class Database:
         self.transactions = Transactions(self)
         self.transactions.revisions = dict(known.get("revisions", {}))
         self.maintainer: Maintainer | None = None
-        self.index: DataFrame | None = None
+        self.index: fulltext.Index | None = None
+        self.index_mark: tuple | None = None  # the observations that it holds
+        self.marks: tuple[int, dict[str, tuple | None]] = (0, {})  # the version that was published last, and the base as it was
         self.vector_index: dict[str, DataFrame] = {}
         self.indexed: dict[str, DataFrame] = {}  # as they were published last
         for entry in self.base.replay():
@@ -376,17 +378,27 @@ class Database:
         else:
             views = self.evaluator().run()
         relations = {k: v for k, v in views.items() if v is not None and not k.startswith("rev")} | {n: self.typed(n, None) for n in self.arity if views.get(n) is None}
+        marks: dict[str, tuple | None] = {}
+        if not self.maintainer:
+            heads = {self.key(r.head.rel, len(r.head.args)) for r in self.rules}
+            plain = [n for n in self.base if n in relations and n not in heads]
+            if self.marks[0] == self.snapshots.current() > 0:
+                grown = {n: df for n in plain for df in [self.base.added(n, self.marks[1].get(n))] if df is not None}
+                same = {n for n, df in grown.items() if df.isEmpty()}
+            marks = {n: self.base.mark(n) for n in plain}
         indexes = self.indexes()
         same |= {n for n, df in indexes.items() if self.indexed.get(n) is df}
-        version = self.snapshots.publish(relations | indexes, same, grown)
-        self.indexed = indexes
+        folder = f"{self.snapshots.folder}/"
+        placed = {n: [p.removeprefix(folder) for p in at] for n, at in (self.index.paths if self.index else {}).items() if all(p.startswith(folder) for p in at)}
+        version = self.snapshots.publish(relations | indexes, same, grown, placed)
+        self.indexed, self.marks = indexes, (version, marks)
         if self.maintainer:
             self.maintainer.since = version
         return version
 
     def indexes(self) -> dict[str, DataFrame]:
         """What text and vector search read, as relations of a version."""
-        return ({} if self.index is None else {"__postings__": self.index}) | self.vector_index
+        return ({} if self.index is None else self.index.relations()) | self.vector_index
 
     def maintain(self) -> Maintainer:
         """From here on, publications evaluate changes only, where that is possible."""
@@ -471,16 +483,26 @@ class Database:
     def node_observations(self, node, most: int | None = None) -> DataFrame:
         return graph.node_observations(self.live("observation"), node, most)
 
-    def build_index(self) -> DataFrame:
-        """Writes the postings of all observations, in buckets by term; published with the next version."""
-        self.index = fulltext.write_postings(self.live("observation"))
+    def build_index(self) -> fulltext.Index:
+        """Writes contents and postings of all observations, or of those added since it was built; published with the next version, where the tables are then."""
+        rows, more = self.live("observation"), None
+        if self.index and len(self.index.paths["__postings__"]) < MOST_TABLES:
+            more = self.base.added("observation", self.index_mark)
+        mark = self.base.mark("observation") if "observation" in self.base else None
+        if more is None or not more.isEmpty():
+            folder = None if self.base.files and not self.base.locked else f"{self.snapshots.folder}/tables"
+            self.index = fulltext.write_postings(rows if more is None else more, folder, None if more is None else self.index)
+        self.index_mark = mark
         return self.index
 
     def search(self, query: str, top: int | None = None, version: int | None = None) -> DataFrame:
         """(content, score); of a version if one is given, else of the index as it was last built."""
         if version is None and self.index is None and self.snapshots.current() and "__postings__" in self.snapshots.relations(self.snapshots.current()):
             version = self.snapshots.current()
-        return fulltext.search(self.index if version is None else self.snapshots.read(version, "__postings__"), query, top)
+        if version is None:
+            return fulltext.search(self.index, query, top)
+        postings = self.snapshots.read(version, "__postings__")
+        return fulltext.search(fulltext.Index(postings, self.snapshots.read(version, "__contents__")) if "id" in postings.columns else postings, query, top)
 
     def build_vectors(self, vectors: DataFrame, bits: int = 64) -> DataFrame:
         """Fits the basis on all rows (entity, vector) and writes bands and int8 forms; published with the next version."""

@@ -244,6 +244,29 @@ class Relations(MutableMapping):
         delta = self.own[k].delta
         return delta and delta.df(self.spark)
 
+    def mark(self, k: str) -> tuple[DataFrame, dict[tuple, int]] | None:
+        """The kept table and all changes over it, if these are few: a relation at a time, to compare with by added()."""
+        r = self.own[k]
+        if r.kept is None or r.delta is not None and r.delta.rows > PENDING:
+            return None
+        written = [] if r.delta is None else [_frozen(x) for x in r.delta.df(self.spark).collect()]
+        return r.kept, {x[:-1]: x[-1] for x in written} | r.pending
+
+    def added(self, k: str, mark: tuple | None) -> DataFrame | None:
+        """What was added since the mark; None if tuples went, or if it isn't known."""
+        now = self.mark(k) if mark and k in self.own else None
+        if now is None or now[0] is not mark[0]:
+            return None
+        (kept, then), changes = mark, {x: s for x, s in now[1].items() if mark[1].get(x) != s}
+        if any(s < 0 for s in changes.values()):
+            return None
+        new = list(changes)
+        if maybe := [x for x in new if x not in then]:
+            few = self.spark.createDataFrame(maybe, kept.schema)
+            there = kept.join(F.broadcast(few), [kept[c].eqNullSafe(few[c]) for c in kept.columns], "left_semi").collect()
+            new = [x for x in new if x not in {_frozen(y) for y in there}]
+        return self.spark.createDataFrame(new, kept.schema)
+
     def copy(self) -> dict[str, DataFrame]:
         return {k: self[k] for k in self.own}
 

@@ -1,11 +1,13 @@
 """Order statistics, traversal, text and vector search against plain Python."""
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from corollary.operators import fulltext, graph, orderstats, vector
+from corollary.store import scratch
 
 
 @pytest.fixture
@@ -72,6 +74,21 @@ def test_full_text(spark, rows):
     assert len(rows(fulltext.owners(obs, fulltext.search(index, "lazy quick"), every=True))) == 2
 
 
+def test_written_index_holds_each_content_once(spark, rows, tmp_path):
+    texts = [" ".join(f"w{(i * 31 + j * j) % 997}" for j in range(400)) + (" red fox" if i % 3 == 0 else " red") for i in range(60)]
+    obs = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, texts[0], None])], "e string, c string")
+    scratch.clear(spark)
+    index = fulltext.write_postings(obs)
+    folder = scratch.root(spark).removeprefix("file://")
+    size = sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+    assert size < 3 * sum(map(len, texts))
+    assert rows(fulltext.search(index, "red FOX")) == sorted((t, 2) for t in texts[::3]) == rows(fulltext.scan_search(obs, "red fox"))
+    assert rows(fulltext.search(index, "absent red")) == [] == rows(fulltext.search(index, ""))
+    more = fulltext.write_postings(spark.createDataFrame([("x", "a later red fox")], obs.schema), onto=index)
+    assert rows(fulltext.search(more, "later fox")) == [("a later red fox", 2)] and len(rows(fulltext.search(more, "red fox"))) == 21
+    assert fulltext.search(more, "red fox", top=2).count() == 2
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 32))
