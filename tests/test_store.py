@@ -276,6 +276,34 @@ def test_search_as_of_a_version(spark, rows, tmp_path):
     db.close()
 
 
+@pytest.mark.parametrize("durable", [False, True])
+def test_versions_share_observations_and_index(spark, rows, tmp_path, durable):
+    db = Database(spark, f"file://{tmp_path}/db" if durable else None)
+    db.facts("observation", [("a", "red fox"), ("b", "red dog"), ("c", "red cow"), *((str(i), f"blue {i}") for i in range(20))])
+    db.build_index()
+    v1 = db.publish()
+    db.add_fact("observation", "a", "red fox")
+    db.add_fact("observation", "d", "red cat")
+    db.build_index()
+    v2 = db.publish()
+    one, two = db.snapshots._manifest(v1), db.snapshots._manifest(v2)
+    for n in ("observation", "__postings__", "__contents__"):
+        assert two[n]["tables"][:1] == one[n]["tables"] and len(two[n]["tables"]) == 2
+    assert db.query_version(v2, "observation").count() == 24 and db.query_version(v1, "observation").count() == 23
+    assert rows(db.search("red", version=v1)) == [("red cow", 1), ("red dog", 1), ("red fox", 1)] and db.search("red").count() == 4 == db.search("red", version=v2).count()
+    db.delete_fact("observation", "a", "red fox")
+    db.build_index()
+    v3 = db.publish()
+    assert db.search("fox").count() == 0 == db.search("fox", version=v3).count() and db.search("fox", version=v2).count() == 1
+    assert rows(db.query_version(v3, "observation").where("c1 like 'red%'")) == [("b", "red dog"), ("c", "red cow"), ("d", "red cat")]
+    db.add_fact("observation", "a", "red fox")
+    db.build_index()
+    v4 = db.publish()
+    assert db.search("fox", version=v4).count() == 1 and db.query_version(v4, "observation").count() == 24
+    assert db.snapshots._manifest(db.publish())["observation"] == db.snapshots._manifest(v4)["observation"]
+    db.close()
+
+
 def test_scratch_goes(spark):
     import os
 
