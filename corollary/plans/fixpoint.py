@@ -2,8 +2,8 @@
 
 A round joins each recursive rule once for each of its recursive atoms, with the last round's new
 tuples in its place, takes away what is known and writes the rest. Rounds are what costs, so a
-transitive closure (recognised by its rules) is doubled: paths of either half are joined, which takes as
-many rounds as the path length has binary digits. Rules of strata without recursion stay lazy: a query
+transitive closure (recognised by its rules) is doubled: what is known is joined with the pairs of the last
+round's greatest distance, which takes as many rounds as the path length has binary digits. Rules of strata without recursion stay lazy: a query
 that needs no loop is one Catalyst plan.
 """
 
@@ -162,6 +162,7 @@ class Evaluator:
         self.counters = Counter() if counters is None else counters
         self.views: dict[str, DataFrame | None] = dict(base)
         self.kept: dict[str, DataFrame] = {}
+        self.tables: dict[str, scratch.Table] = {}  # closures as they were written
 
     def key(self, atom: Atom) -> str:
         return key(atom.rel, len(atom.args), self.variadic)
@@ -211,20 +212,38 @@ class Evaluator:
         return self.closure(s, edge) if edge is not None else self.loop(s)
 
     def closure(self, s: Stratum, edge: Atom) -> dict[str, DataFrame | None]:
+        """In round k all pairs of a distance up to 2**k are known; those of exactly 2**k ("last") go on from the others.
+
+        A pair of a distance beyond that, up to twice of it, is made of one of exactly 2**k and one that is known, so
+        a pair with one path is found once, and not once for each way to cut it.
+        """
         name = s.relations[0]
         start = self.kept_view(self.key(edge))
         if start is None:
             return {name: None}
         self.counters["closures"] += 1
-        total = delta = scratch.write(start.distinct(), name)
+        start = start.toDF("c0", "c1")
+        total = scratch.write(start.distinct(), name)
+        delta, older = total, None
+        # The known pairs are grouped by the end at which fewer edges meet: there they are few to a key.
+        fan = lambda c: total.df(self.spark).groupBy(c).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        forward = fan("c0") <= fan("c1")
         while delta.rows:
             self.counters["rounds"] += 1
-            known, new = total.df(self.spark), delta.df(self.spark)
-            left, right = known.toDF("a", "m"), new.toDF("m", "b")
-            cand = left.join(right, "m").selectExpr("a as c0", "b as c1")
-            if delta is not total:
-                cand = cand.union(new.toDF("a", "m").join(known.toDF("m", "b"), "m").selectExpr("a as c0", "b as c1"))
-            total, delta = self.grow(total, without(cand.distinct(), known), name)
+            fresh = delta.df(self.spark) if older is not None else delta.df(self.spark).withColumn("last", F.lit(True))
+            last = fresh.where("last").drop("last")
+            known = fresh if older is None else fresh.unionByName(older.df(self.spark).withColumn("last", F.lit(False)))
+            if forward:
+                cand = last.toDF("c0", "m").join(known.toDF("m", "c1", "last"), "m")
+            else:
+                cand = known.toDF("c0", "m", "last").join(last.toDF("m", "c1"), "m")
+            cand = cand.groupBy("c0", "c1").agg(F.min("last").alias("last"))
+            old = known.select(F.col("c0").alias("k_c0"), F.col("c1").alias("k_c1"))
+            new = cand.join(old, F.col("c0").eqNullSafe(F.col("k_c0")) & F.col("c1").eqNullSafe(F.col("k_c1")), "left_anti")
+            delta, older = scratch.write(new, name), total
+            if delta.rows:
+                total = total.plus(delta)
+        self.tables[name] = total
         return {name: total.df(self.spark)}
 
     def grow(self, total, new: DataFrame, name: str, small: bool = False) -> tuple:
