@@ -388,7 +388,62 @@ class RulePlan:
         return self.term(x)
 
 
+#: If two joined atoms have more bindings than the square, each key's rows are cut into parts of so many, and each pair of parts is a piece of work.
+SIDE = 2_000
+
+
+def pairs(spark: SparkSession, rule: Rule, read: Callable[[int, Atom], DataFrame | None]) -> DataFrame | None:
+    """A rule of two atoms whose head drops what they share and keeps all else, if its bindings are many; else None.
+
+    Bindings are counted by key. A key's rows are cut into parts by hash, on either side, and each part meets each of the other side.
+    A pair is there twice only if its left row has more than one key, so only pairs of such rows are made distinct:
+    the others, which are the result, aren't shuffled. Comparisons take rows away only, and stay where they were.
+    """
+    atoms = list(rule.positive())
+    if len(atoms) != 2 or any(isinstance(x, Atom) and x.negated or not isinstance(x, (Atom, Compare)) for x in rule.body):
+        return None
+    own = [set(variables(a)) for a in atoms]
+    shared, head = own[0] & own[1], set(variables(rule.head))
+    drop = shared - head
+    if not drop or not (own[0] ^ own[1]) <= head or not (own[0] - shared and own[1] - shared) or any(not isinstance(x, (Var, Const)) for x in rule.head.args):
+        return None
+    plan = RulePlan(spark, rule, read, {})
+    given = [read(i, a) for i, a in enumerate(rule.atoms())]
+    if any(df is None for df in given):
+        return None
+    left, right = (plan.relation(a, df) for a, df in zip(atoms, given, strict=True))
+    names = sorted(plan.name(v) for v in shared)
+    counted = left.groupBy(*names).agg(F.count(F.lit(1)).alias("l")).join(right.groupBy(*names).agg(F.count(F.lit(1)).alias("r")), names)
+    many = counted.agg(F.sum(F.col("l").cast("double") * F.col("r"))).first()[0] or 0
+    if many <= SIDE**2:
+        return None
+    size = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
+    cut = counted.select(*names, size("l").alias("__ls"), size("r").alias("__rs"))
+
+    def spread(df: DataFrame, by: list[str], mine: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*by), F.col(f"__{mine}s")).cast("int")
+        parts = df.join(cut, names).withColumn(f"__{mine}", part).withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), F.col(f"__{other}s") - 1)))
+        # A number that is given isn't coalesced: the rows of a part are few, what they give isn't.
+        return parts.drop("__ls", "__rs").repartition(n, *on)
+
+    on, n = [*names, "__l", "__r"], int(min(10_000, 2 * many // SIDE**2 + 1))
+    rest = lambda df: [c for c in df.columns if c not in {plan.name(v) for v in drop}]
+    keys = left.groupBy(*rest(left)).agg((F.count(F.lit(1)) == 1).alias("__single"))
+    lefts, rights = spread(left.join(keys, rest(left)), rest(left), "l", "r"), spread(right, rest(right), "r", "l")
+
+    def half(some: DataFrame, distinct: bool) -> DataFrame:
+        plan.df, plan.bound = some.drop("__single").join(rights, on).drop("__l", "__r"), own[0] | own[1]
+        for x in rule.body:
+            if isinstance(x, Compare):
+                plan.comparison(x)
+        return plan.project(plan.df, distinct)
+
+    return half(lefts.where("__single"), False).unionByName(half(lefts.where("not __single"), True))
+
+
 def evaluate(spark: SparkSession, rule: Rule, read: Callable[[int, Atom], DataFrame | None], ranges: Relations, distinct: bool = True, null_safe: bool = False, first: int | None = None) -> DataFrame | None:
+    if distinct and not null_safe and first is None and (df := pairs(spark, rule, read)) is not None:
+        return df
     plan = RulePlan(spark, rule, read, ranges, null_safe)
     df = plan.bindings(first)
     return None if df is None else plan.project(df, distinct)
