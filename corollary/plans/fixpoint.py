@@ -163,6 +163,7 @@ class Evaluator:
         self.views: dict[str, DataFrame | None] = dict(base)
         self.kept: dict[str, DataFrame] = {}
         self.tables: dict[str, scratch.Table] = {}  # closures as they were written
+        self.added: dict[str, list] = {}  # what a seeded loop found, by round
 
     def key(self, atom: Atom) -> str:
         return key(atom.rel, len(atom.args), self.variadic)
@@ -281,6 +282,7 @@ class Evaluator:
                     total[n] = delta[n] = put(df.distinct(), n.replace("/", "_"), True)
         else:
             total, delta = {n: t for n, (t, _) in seeds.items()}, {n: d for n, (_, d) in seeds.items()}
+            self.added = {n: [d] for n, d in delta.items() if d.rows}
         for _ in range(MAX_ROUNDS):
             if not any(d.rows for d in delta.values()):
                 return {n: total[n].df(self.spark) if n in total else None for n in s.relations}
@@ -311,4 +313,7 @@ class Evaluator:
                 else:
                     grown[n] = fresh[n] = put(cand, n.replace("/", "_"), few)
             total, delta = grown, fresh
+            for n, d in fresh.items():
+                if d.rows:
+                    self.added.setdefault(n, []).append(d)
         raise RuntimeError(f"{s.relations} don't come to an end")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..lang.ast import Atom, Rule
+from ..lang.ast import Atom, Rule, Var
 from ..lang.checks import Stratum, stratify
 from ..plans.fixpoint import Evaluator, union, without
 from ..plans.rule_plan import RulePlan
@@ -41,7 +41,8 @@ class Maintainer:
         db = self.db
         self.rules, self.base, self.noted = list(db.rules), dict(db.base), Relations(db.spark, None)
         heads = {db.key(r.head.rel, len(r.head.args)) for r in self.rules}
-        self.views = {k: self.keep(v, k) if k in heads else scratch.Given(v) for k, v in db.evaluator().run().items() if v is not None}
+        e = db.evaluator()
+        self.views = {k: e.tables.get(k) or self.keep(v, k) if k in heads else scratch.Given(v) for k, v in e.run().items() if v is not None}
         self.changes: dict[str, Change] = {}
 
     @staticmethod
@@ -227,9 +228,8 @@ class Maintainer:
             for n, parts in lost.items():
                 if n not in old:
                     continue
-                was = old[n].df(spark)
+                # All of it is in the old view, which holds what its rules give from old tuples.
                 df = union(parts).distinct()
-                df = df.join(was, [df[c].eqNullSafe(was[c]) for c in was.columns], "left_semi")
                 new = self.keep(df if n not in gone else without(df, gone[n].df(spark)), "over")
                 if new.rows:
                     gone[n] = new if n not in gone else gone[n].plus(new)
@@ -243,7 +243,7 @@ class Maintainer:
         for n, t in gone.items():
             over = t.df(spark)
             for r in (r for r in s.rules if db.key(r.head.rel, len(r.head.args)) == n):
-                df = now.rule(r, distinct=False)
+                df = self.again(now, r, over)
                 if df is not None:
                     again.setdefault(n, []).append(df.join(over, [df[c].eqNullSafe(over[c]) for c in over.columns], "left_semi"))
             if n in db.base:
@@ -258,13 +258,23 @@ class Maintainer:
                 continue
             new = self.keep(found.distinct() if have is None else without(found.distinct(), have.df(spark)), n)
             seeds[n] = (new if have is None else have.plus(new), new)
-        for n, df in self.evaluator(self.views).loop(s, seeds).items():
+        e = self.evaluator(self.views)
+        for n, df in e.loop(s, seeds).items():
             if df is None:
                 continue
-            view, was = self.keep(df, n), old.get(n)
-            up = view if was is None else self.keep(without(view.df(spark), was.df(spark)), "plus")
-            down = self.keep(without(gone[n].df(spark), view.df(spark)), "minus") if n in gone else None
-            self.views[n], changes[n] = view, (up if up.rows else None, down if down and down.rows else None)
+            found = union([d.df(spark) for d in e.added.get(n, [])])
+            view, lost = seeds[n][0] if found is None else self.keep(df, n), gone.get(n)
+            # The rest was there and is: what was found differs from what was lost, and nothing else does.
+            up = None if found is None else self.keep(found if lost is None else without(found, lost.df(spark)), "plus")
+            down = lost if lost is None or found is None else self.keep(without(lost.df(spark), found), "minus")
+            self.views[n], changes[n] = view, (up if up and up.rows else None, down if down and down.rows else None)
+
+    def again(self, now: Evaluator, rule: Rule, over: DataFrame) -> DataFrame | None:
+        """What the rule still gives of over: with plain variables in its head, over is one more atom of its body, and leads."""
+        if len(set(rule.head.args)) < len(rule.head.args) or not all(isinstance(x, Var) for x in rule.head.args) or any(not isinstance(x, Atom) for x in rule.body):
+            return now.rule(rule, distinct=False)
+        own = Rule(rule.head, (Atom("__over", rule.head.args), *rule.body))
+        return now.rule(own, lambda i, a: over if i == 0 else now.read(a), distinct=False, first=0)
 
     def regroup(self, s: Stratum, old: dict, changes: dict[str, Change]) -> None:
         db, n, rule = self.db, s.relations[0], s.rules[0]

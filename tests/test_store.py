@@ -276,6 +276,18 @@ def test_search_as_of_a_version(spark, rows, tmp_path):
     db.close()
 
 
+def test_recursive_deletion_does_not_copy_the_view(spark, rows, monkeypatch):
+    db = Database(spark)
+    db.facts("edge", [(i, i // 2) for i in range(1, 16)])
+    db.load_rules(TC)
+    m, seen, write = db.maintain(), [], scratch.write
+    db.change("edge", [], [(2, 1), (9, 4)])
+    monkeypatch.setattr(scratch, "write", lambda df, name, *more: seen.append(name) or write(df, name, *more))
+    got = m.publish()["tc"]
+    assert seen.count("tc") == 2 and seen.count("plus") == 1  # the rest, and what is still given of the lost; a change of the base
+    assert rows(got) == rows(db.derive("tc"))
+
+
 @pytest.mark.parametrize("durable", [False, True])
 def test_versions_share_observations_and_index(spark, rows, tmp_path, durable):
     db = Database(spark, f"file://{tmp_path}/db" if durable else None)
