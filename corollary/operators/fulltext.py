@@ -38,7 +38,7 @@ BROADCAST = 250_000
 
 @dataclass
 class Index:
-    """Written postings (term, id) and contents (id, content): each content is there once for each row that has it, not once for each of its terms."""
+    """Written postings (term, id) and contents (id, content, by any name): each content is there once for each row that has it, not once for each of its terms."""
 
     postings: DataFrame
     contents: DataFrame
@@ -48,20 +48,23 @@ class Index:
         return {"__postings__": self.postings, "__contents__": self.contents}
 
 
-def write_postings(observation: DataFrame, folder: str | None = None, onto: Index | None = None) -> Index:
+def write_postings(observation: DataFrame, folder: str | None = None, onto: Index | None = None, whole: bool = False) -> Index:
     """Contents, numbered, and their postings, sorted by term within each file, so that a search reads its terms' pages only.
 
     Nothing is shuffled: a file has the postings of some contents. onto: an index that these contents are added to.
+    whole: the tables of contents have all rows and columns of the observations, by their names, and so are theirs too.
     """
     spark = observation.sparkSession
+    text = observation.columns[1] if whole else "content"
     folder, own = folder or scratch.root(spark), uuid.uuid4().hex
     paths = {n: [*(onto.paths[n] if onto else ()), f"{folder}/{n}-{own}"] for n in ("__postings__", "__contents__")}
-    read = lambda n, *at: spark.read.schema({"__postings__": "term string, id long", "__contents__": "id long, content string"}[n]).parquet(*at)
+    read = lambda n, *at: spark.read.schema({"__postings__": "term string, id long", "__contents__": f"id long, `{text}` string"}[n]).parquet(*at)
     new = {n: at[-1] for n, at in paths.items()}
     segment = F.lit(len(paths["__postings__"]) - 1 << 54)  # ids of one job are below
     content = F.col(observation.columns[1])
-    observation.where(content.isNotNull()).select((F.monotonically_increasing_id() + segment).alias("id"), content.alias("content")).write.parquet(new["__contents__"])
-    terms = read("__contents__", new["__contents__"]).select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"), "id")
+    rows = observation if whole else observation.where(content.isNotNull()).select(content.alias(text))
+    rows.select((F.monotonically_increasing_id() + segment).alias("id"), "*").write.parquet(new["__contents__"])
+    terms = read("__contents__", new["__contents__"]).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"), "id")
     terms.sortWithinPartitions("term", "id").write.parquet(new["__postings__"])
     return Index(read("__postings__", *paths["__postings__"]), read("__contents__", *paths["__contents__"]), paths)
 
@@ -81,7 +84,8 @@ def search(index: DataFrame | Index | None, query: str, top: int | None = None)
     found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select(key)
     if isinstance(index, Index):
         found = F.broadcast(found) if found.limit(BROADCAST + 1).count() <= BROADCAST else found
-        found = index.contents.join(found, "id", "left_semi").select("content").distinct()
+        text = next(c for c in index.contents.columns if c != "id")
+        found = index.contents.join(found, "id", "left_semi").select(F.col(text).alias("content")).distinct()
     found = found.select("content", F.lit(len(terms)).alias("score"))
     return found if top is None else found.orderBy(F.desc("score"), "content").limit(top)
 

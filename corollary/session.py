@@ -390,6 +390,9 @@ class Database:
         same |= {n for n, df in indexes.items() if self.indexed.get(n) is df}
         folder = f"{self.snapshots.folder}/"
         placed = {n: [p.removeprefix(folder) for p in at] for n, at in (self.index.paths if self.index else {}).items() if all(p.startswith(folder) for p in at)}
+        mark = marks.get("observation")
+        if "__contents__" in placed and "observation" not in grown and mark and self.index_mark and mark[0] is self.index_mark[0] and mark[1] == self.index_mark[1]:
+            placed["observation"] = placed["__contents__"]  # they are as the index has them
         version = self.snapshots.publish(relations | indexes, same, grown, placed)
         self.indexed, self.marks = indexes, (version, marks)
         if self.maintainer:
@@ -491,7 +494,7 @@ class Database:
         mark = self.base.mark("observation") if "observation" in self.base else None
         if more is None or not more.isEmpty():
             folder = None if self.base.files and not self.base.locked else f"{self.snapshots.folder}/tables"
-            self.index = fulltext.write_postings(rows if more is None else more, folder, None if more is None else self.index)
+            self.index = fulltext.write_postings(rows if more is None else more, folder, None if more is None else self.index, whole=True)
         self.index_mark = mark
         return self.index
 

@@ -316,6 +316,27 @@ def test_versions_share_observations_and_index(spark, rows, tmp_path, durable):
     db.close()
 
 
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_a_version_has_its_observations_once(spark, rows, null_safe):
+    db = Database(spark, null_safe=null_safe)
+    texts = [("a", "red fox"), ("b", "red fox"), ("b", "blue fox"), *([("c", None)] if null_safe else [])]
+    db.set_relation("observation", spark.createDataFrame(texts, "e string, c string"), distinct=True)
+    db.build_index()
+    v1 = db.publish()
+    one = db.snapshots._manifest(v1)
+    assert one["observation"]["tables"] == one["__contents__"]["tables"] and len(db.snapshots.files.names("tables")) == 2
+    db.add_fact("observation", "d", "red owl")  # after the index was built: it has a table of its own
+    v2 = db.publish()
+    two = db.snapshots._manifest(v2)
+    assert two["__contents__"] == one["__contents__"] and two["observation"]["tables"] != one["observation"]["tables"]
+    db.delete_fact("observation", "a", "red fox")
+    db.build_index()
+    v3 = db.publish()
+    at = lambda v: {tuple(r) for r in db.query_version(v, "observation").collect()}
+    assert at(v1) == {*texts} and at(v2) == {*texts, ("d", "red owl")} and at(v3) == at(v2) - {("a", "red fox")}
+    assert [db.search("red", version=v).count() for v in (v1, v2, v3)] == [1, 1, 2] and db.query_version(v3, "observation").columns == ["c0", "c1"]
+
+
 def test_scratch_goes(spark):
     import os
 
