@@ -157,10 +157,12 @@ def put(df: DataFrame, name: str, small: bool) -> scratch.Table | Held:
 class Evaluator:
     """views holds every relation that is known: base and, once run, derived ones."""
 
-    def __init__(self, spark: SparkSession, rules: list[Rule], base: dict[str, DataFrame], variadic: set[str] = frozenset(), null_safe: bool = False, counters: Counter | None = None, doubling: bool = True):
+    def __init__(self, spark: SparkSession, rules: list[Rule], base: dict[str, DataFrame], variadic: set[str] = frozenset(), null_safe: bool = False, counters: Counter | None = None, doubling: bool = True, bags: dict[str, DataFrame] | None = None):
         self.spark, self.rules, self.base, self.variadic, self.null_safe, self.doubling = spark, [r for r in rules if r.body], base, variadic, null_safe, doubling
         self.counters = Counter() if counters is None else counters
         self.views: dict[str, DataFrame | None] = dict(base)
+        self.bags = {**(bags or {})}  # relations with repeats, from which their views are made
+        self.single: dict[str, Rule] = {}  # rules that a bag can be made by
         self.kept: dict[str, DataFrame] = {}
         self.tables: dict[str, scratch.Table] = {}  # closures as they were written
         self.added: dict[str, list] = {}  # what a seeded loop found, by round
@@ -181,6 +183,18 @@ class Evaluator:
             self.kept[name] = df if plan.getClass().getSimpleName() == "LogicalRelation" else scratch.write(df, "edb").df(self.spark)
         return self.kept[name]
 
+    def bag(self, _: int, atom: Atom) -> DataFrame | None:
+        """The atom's relation, with repeats if it would be made distinct first."""
+        name = self.key(atom)
+        if name not in self.bags and name in self.single:
+            self.bags[name] = self.rule(self.single[name], self.bag, distinct=False)
+        return self.bags[name] if name in self.bags else self.read(atom)
+
+    @staticmethod
+    def repeats(rule: Rule) -> bool:
+        """Whether repeats in what it reads only repeat its tuples: it joins and counts nothing."""
+        return len(rule.atoms()) == len(rule.positive()) == 1 and rule.aggregate() is None and not rule.ranges()
+
     def rule(self, rule: Rule, read=None, distinct: bool = True, first: int | None = None) -> DataFrame | None:
         return rule_plan.evaluate(self.spark, rule, read or (lambda _, a: self.read(a)), self.views, distinct, self.null_safe, first)
 
@@ -205,10 +219,14 @@ class Evaluator:
         if not s.recursive:
             name = s.relations[0]
             self.counters["strata"] += 1
+            # What is made distinct in the end needn't be so before.
+            read = lambda r: self.bag if self.repeats(r) else None
             if len(s.rules) == 1 and name not in self.base:
-                return {name: self.rule(s.rules[0])}
-            df = union([self.base.get(name), *(self.rule(r, distinct=False) for r in s.rules)])
-            return {name: None if df is None else df.distinct()}
+                if self.repeats(s.rules[0]):
+                    self.single[name] = s.rules[0]
+                return {name: self.rule(s.rules[0], read(s.rules[0]))}
+            df = union([self.base.get(name), *(self.rule(r, read(r), distinct=False) for r in s.rules)])
+            return {name: None if df is None else rule_plan.apart(df) if any(map(rule_plan.generates, s.rules)) else df.distinct()}
         edge = closure_of(s, self.base) if self.doubling else None
         return self.closure(s, edge) if edge is not None else self.loop(s)
 

@@ -441,11 +441,33 @@ def pairs(spark: SparkSession, rule: Rule, read: Callable[[int, Atom], DataFrame
     return half(lefts.where("__single"), False).unionByName(half(lefts.where("not __single"), True))
 
 
+#: Beyond so many bytes, by Spark's estimate, the items of lists are counted; if they hardly repeat, they are made distinct in parts of so many rows.
+BYTES, ROWS = 4_000_000, 500_000
+
+
+def generates(rule: Rule) -> bool:
+    """Whether it makes several rows of one of a relation's, by the items of a list."""
+    return len(rule.atoms()) == 1 and any(isinstance(x, Call) and x.name == "member" for x in rule.body)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """Each row once. A task that reads rows which hardly repeat would hold all of them before the shuffle, for nothing:
+    they are shuffled as they are, into as many parts as their number asks for."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BYTES:
+        return df.distinct()
+    many, own = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*df.columns))).first()
+    if many <= ROWS or own < many / 4:
+        return df.distinct()
+    return df.repartition(min(10_000, many // ROWS + 1), *df.columns).distinct()
+
+
 def evaluate(spark: SparkSession, rule: Rule, read: Callable[[int, Atom], DataFrame | None], ranges: Relations, distinct: bool = True, null_safe: bool = False, first: int | None = None) -> DataFrame | None:
     if distinct and not null_safe and first is None and (df := pairs(spark, rule, read)) is not None:
         return df
     plan = RulePlan(spark, rule, read, ranges, null_safe)
     df = plan.bindings(first)
+    if df is not None and distinct and rule.aggregate() is None and generates(rule):
+        return apart(plan.project(df, False))
     return None if df is None else plan.project(df, distinct)
 
 

@@ -48,6 +48,7 @@ class Database:
         self.variadic: set[str] = set(known.get("variadic", ()))
         self.rules: list[Rule] = parse("\n".join(known.get("rules", ())))
         self.perms: dict[str, list[tuple[int, ...]]] = {k: [tuple(x) for x in v] for k, v in known.get("perms", {}).items()}
+        self.bags: dict[str, tuple[DataFrame, DataFrame]] = {}  # a view and its table, of which it is made by distinct
         self.counters: Counter = Counter()
         self.snapshots = Snapshots(spark, folder)
         self.snapshots.retain = known.get("retain", 0)
@@ -124,7 +125,11 @@ class Database:
         if not self.null_safe:
             new = new.na.drop() if any(f.nullable for f in new.schema.fields) else new
         k = self.key(name, n)
-        self.base[k] = (new if distinct else new.distinct()) if k not in self.base else union([self.base[k], new]).distinct()
+        first = k not in self.base
+        view = (new if distinct else new.distinct()) if first else union([self.base[k], new]).distinct()
+        self.base[k] = view
+        if first and not distinct:
+            self.bags[k] = view, new
         self.save()
 
     def load_csv(self, name: str, path: str, arity: int | None = None) -> dict[str, int]:
@@ -274,7 +279,9 @@ class Database:
         return lint(rules)
 
     def evaluator(self, rules: list[Rule] | None = None, base: dict[str, DataFrame] | None = None) -> Evaluator:
-        return Evaluator(self.spark, self.rules if rules is None else rules, dict(self.base if base is None else base), self.variadic, self.null_safe, self.counters, self.doubling)
+        own = dict(self.base if base is None else base)
+        bags = {k: bag for k, (view, bag) in self.bags.items() if own.get(k) is view}
+        return Evaluator(self.spark, self.rules if rules is None else rules, own, self.variadic, self.null_safe, self.counters, self.doubling, bags)
 
     def derive(self, *names: str) -> DataFrame:
         """A relation's view, from the live base and all rules that it depends on."""
