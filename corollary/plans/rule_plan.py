@@ -442,7 +442,8 @@ def pairs(spark: SparkSession, rule: Rule, read: Callable[[int, Atom], DataFrame
 
 
 #: Beyond so many bytes, by Spark's estimate, the items of lists are counted; if they hardly repeat, they are made distinct in parts of so many rows.
-BYTES, ROWS = 4_000_000, 500_000
+#: Spark writes as many as PARTS without sorting what a task reads in its memory: parts grow to five times the rows before there are more.
+BYTES, ROWS, PARTS = 4_000_000, 500_000, 200
 
 
 def generates(rule: Rule) -> bool:
@@ -458,7 +459,8 @@ def apart(df: DataFrame) -> DataFrame:
     many, own = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*df.columns))).first()
     if many <= ROWS or own < many / 4:
         return df.distinct()
-    return df.repartition(min(10_000, many // ROWS + 1), *df.columns).distinct()
+    parts = max(min(PARTS, many // ROWS + 1), many // (5 * ROWS) + 1)
+    return df.repartition(min(10_000, parts), *df.columns).distinct()
 
 
 def evaluate(spark: SparkSession, rule: Rule, read: Callable[[int, Atom], DataFrame | None], ranges: Relations, distinct: bool = True, null_safe: bool = False, first: int | None = None) -> DataFrame | None:
