@@ -253,18 +253,44 @@ class Evaluator:
             last = fresh.where("last").drop("last")
             known = fresh if older is None else fresh.unionByName(older.df(self.spark).withColumn("last", F.lit(False)))
             if forward:
-                cand = last.toDF("c0", "m").join(known.toDF("m", "c1", "last"), "m")
+                left, right = last.toDF("c0", "m"), known.toDF("m", "c1", "last")
             else:
-                cand = known.toDF("c0", "m", "last").join(last.toDF("m", "c1"), "m")
-            cand = cand.groupBy("c0", "c1").agg(F.min("last").alias("last"))
-            old = known.select(F.col("c0").alias("k_c0"), F.col("c1").alias("k_c1"))
-            new = cand.join(old, F.col("c0").eqNullSafe(F.col("k_c0")) & F.col("c1").eqNullSafe(F.col("k_c1")), "left_anti")
+                left, right = known.toDF("c0", "m", "last"), last.toDF("m", "c1")
+            new = self.spread(left, right, known, total.rows, forward) if total.rows > rule_plan.ROWS else None
+            if new is None:
+                cand = left.join(right, "m").groupBy("c0", "c1").agg(F.min("last").alias("last"))
+                old = known.select(F.col("c0").alias("k_c0"), F.col("c1").alias("k_c1"))
+                new = cand.join(old, F.col("c0").eqNullSafe(F.col("k_c0")) & F.col("c1").eqNullSafe(F.col("k_c1")), "left_anti")
             delta, older = scratch.write(new, name), total
             if delta.rows:
                 total = total.plus(delta)
         self.tables[name] = total
         return {name: total.df(self.spark)}
 
+    @staticmethod
+    def spread(left: DataFrame, right: DataFrame, known: DataFrame, rows: int, forward: bool) -> DataFrame | None:
+        """A round's new pairs, in parts by the number of rows, which is given and so isn't coalesced.
+
+        Bindings are counted by key; without any there is nothing new. None if they are more than four times what is
+        known, when it is better to make them distinct before the shuffle, or if a key alone has more rows than a part:
+        both are left to Spark.
+        """
+        n = F.count(F.lit(1))
+        sides = left.groupBy("m").agg(n.alias("l")).join(right.groupBy("m").agg(n.alias("r")), ["m"], "full")
+        many, *most = sides.agg(F.sum(F.col("l").cast("double") * F.col("r")), F.max("l"), F.max("r")).first()
+        if many is None:
+            return known.limit(0)
+        if many > 4 * rows or max(most) > rule_plan.ROWS:
+            return None
+        at = rule_plan.parts(2 * rows)
+        cand = left.repartition(at, "m").join(right.repartition(at, "m").hint("merge"), "m")
+        # A node's pairs are at most the square of the most that are known of one: if these are few, they stay together.
+        end = ("c0", "c1")[not forward]
+        by = [end] if most[forward] ** 2 <= rule_plan.ROWS else ["c0", "c1"]
+        both = cand.select("c0", "c1", "last", F.lit(False).alias("old")).unionByName(known.withColumn("old", F.lit(True)))
+        both = both.repartition(rule_plan.parts(rows + int(many)), *by)
+        return both.groupBy("c0", "c1").agg(F.min("last").alias("last"), F.max("old").alias("old")).where("not old").drop("old")
+
     def grow(self, total, new: DataFrame, name: str, small: bool = False) -> tuple:
         """What is known with what is new, and the latter. Small rounds stay at the driver until they are many."""
         delta = put(new, name, small)

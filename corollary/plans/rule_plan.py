@@ -451,6 +451,10 @@ def generates(rule: Rule) -> bool:
     return len(rule.atoms()) == 1 and any(isinstance(x, Call) and x.name == "member" for x in rule.body)
 
 
+def parts(many: int) -> int:
+    return min(10_000, max(min(PARTS, many // ROWS + 1), many // (5 * ROWS) + 1))
+
+
 def apart(df: DataFrame) -> DataFrame:
     """Each row once. A task that reads rows which hardly repeat would hold all of them before the shuffle, for nothing:
     they are shuffled as they are, into as many parts as their number asks for."""
@@ -459,8 +463,7 @@ def apart(df: DataFrame) -> DataFrame:
     many, own = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*df.columns))).first()
     if many <= ROWS or own < many / 4:
         return df.distinct()
-    parts = max(min(PARTS, many // ROWS + 1), many // (5 * ROWS) + 1)
-    return df.repartition(min(10_000, parts), *df.columns).distinct()
+    return df.repartition(parts(many), *df.columns).distinct()
 
 
 def evaluate(spark: SparkSession, rule: Rule, read: Callable[[int, Atom], DataFrame | None], ranges: Relations, distinct: bool = True, null_safe: bool = False, first: int | None = None) -> DataFrame | None:
