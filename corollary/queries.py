@@ -233,7 +233,7 @@ add("rank_bound", on("li", "order_key part_key supp_key line rank", lambda li: o
 add("rank_perm", on("li", "order_key part_key supp_key line rank", lambda li: orderstats.with_rank(li, perm=[2, 1, 0, 3])), f"SELECT {_LI}, row_number() OVER (ORDER BY c2, c1, c0, c3) - 1 AS rank FROM {{li}} l")
 add("merge_join", on("ord cust", "order_key l_cust r_cust nation", lambda o, c: orderstats.merge_join(o.selectExpr("c1", "c0"), c, 1).selectExpr("l1", "l0", "r0", "r1")), "SELECT o.c0 AS order_key, o.c1 AS l_cust, c.c0 AS r_cust, c.c1 AS nation FROM {ord} o JOIN {cust} c ON o.c1 = c.c0")
 
-add("select_deep", lambda s, d: orderstats.select(relation(s, d, "li"), relation(s, d, "li").count() * 3 // 4).toDF("order_key", "part_key", "supp_key", "line"), f"SELECT {_LI} FROM {{li}} l ORDER BY c0, c1, c2, c3 LIMIT 1 OFFSET (SELECT count(*) * 3 // 4 FROM {{li}})")
+add("select_deep", on("li", "order_key part_key supp_key line", lambda li: orderstats.select(li, li.count() * 3 // 4)), f"SELECT {_LI} FROM {{li}} l ORDER BY c0, c1, c2, c3 LIMIT 1 OFFSET (SELECT count(*) * 3 // 4 FROM {{li}})")
 
 
 def _perm(spark: SparkSession, sf_dir: str) -> DataFrame:
