@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,56 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+#: Bits of a sieve at most, as a power of two (16 MB), and of one of its pages.
+SIEVE_BITS, PAGE_BITS = 27, 15
+
+
+def sieve(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A bit table (page, words) of n keys, one column of mixed longs, and the power of two of its bits.
+
+    It has 16 bits a key and 16 MB at most, so it is broadcast whatever n is: of rows without a key one in 16
+    passes it at that, and more beyond 8 million keys. What it holds back certainly has no key.
+    """
+    bits = int(min(max(PAGE_BITS, np.ceil(np.log2(16 * max(n, 1)))), SIEVE_BITS))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for b in batches:
+            low = np.sort(b.column(0).to_numpy())
+            page = low >> PAGE_BITS
+            cut = np.flatnonzero(np.append(True, page[1:] != page[:-1])) if len(low) else np.zeros(0, np.int64)
+            for i, j in zip(cut, [*cut[1:], len(low)], strict=True):
+                at = low[i:j] & ((1 << PAGE_BITS) - 1)
+                words = pages.setdefault(int(page[i]), np.zeros(1 << (PAGE_BITS - 6), np.uint64))
+                np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        for page, words in pages.items():
+            yield pa.record_batch([pa.array([page], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words.view(np.int64)))], names=["page", "words"])
+
+    low = keys.select(F.col(keys.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)).alias("low"))
+    parted = low.repartition(n_partitions(keys.sparkSession), F.shiftright("low", PAGE_BITS))
+    return stage(parted.mapInArrow(build, "page int, words array<long>"), "sieve"), bits
+
+
+def sifted(df: DataFrame, key: str, table: tuple[DataFrame, int], how: str) -> DataFrame:
+    """The rows of df whose key may be one of the sieve's ("left_semi"), or those whose key isn't ("left_anti")."""
+    page, words = fresh(df, "page"), fresh(df, "words")
+    low = df[key].bitwiseAND(F.lit((1 << table[1]) - 1))
+    bit = F.getbit(F.get(F.col(words), F.shiftright(low.bitwiseAND(F.lit((1 << PAGE_BITS) - 1)), 6).cast("int")), low.bitwiseAND(F.lit(63)).cast("int"))
+    return df.join(F.broadcast(table[0].toDF(page, words)), (F.shiftright(low, PAGE_BITS).cast("int") == F.col(page)) & (bit == 1), how)
+
+
+def met(df: DataFrame, other: DataFrame, on: list[str], how: str, n: int | None = None) -> DataFrame:
+    """df joined to other (null keys meet none): "left", "left_semi" or "left_anti". Beyond the counted limit of a broadcast, only the rows that a sieve lets pass are shuffled."""
+    n = other.count() if n is None else n
+    if n <= BROADCAST_ROWS:
+        return df.join(F.broadcast(other), on, how)
+    key = fresh(df, "key")
+    table = sieve(other.select(F.xxhash64(*on)), n)
+    tagged = df.withColumn(key, F.xxhash64(*on))
+    near = sifted(tagged, key, table, "left_semi").drop(key).join(other, on, how)
+    return near if how == "left_semi" else near.unionByName(sifted(tagged, key, table, "left_anti").drop(key), allowMissingColumns=True)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,9 +13,11 @@ are compared by their exact J_P. Documents of the same words (J_P = 1) are joine
 What is compared and grouped are texts, not documents: a text is named by (d, t), the least doc_id that has
 it and the hash of that row's text. Rows whose texts have the same words share a text and are linked by it,
 however many they are. In each bucket (texts of one band) all are compared with the least one first; where
-that leaves more than one group in the bucket, every pair of texts across those groups is compared too. So
-every candidate pair is either compared or already joined through others, and the groups are the connected
-components of all candidate pairs with J_P >= threshold; nothing is capped. Buckets are counted and led by
+that leaves more than one group in the bucket, the pairs of texts across those groups are compared too, but
+for those whose J_P is below the threshold by what `_across` says. So every candidate pair is compared, known
+to be too far apart, or already joined through others, and the groups are the connected components of all
+candidate pairs with J_P >= threshold; nothing is capped. Band keys are counted in quotient filters, and only
+rows of repeated ones are kept (and few others, by a sieve). Buckets are counted and led by
 partial aggregates, so that a hot one is no task's alone; a text with very many partners is shared out.
 
 Defined results: null and empty texts, and texts without a word, have no shingle and stay alone; fewer
@@ -32,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, n_partitions, need, release, small, stage
+from .common import fresh, id_text, met, n_partitions, need, release, sieve, sifted, small, stage
+from .exact_dedup import repeated_fingerprints
 from .textops import U, Words, mix, ngrams, pieces
 
 SHINGLE, REGISTERS, ROWS, THRESHOLD = 3, 160, 4, 0.5
@@ -136,6 +139,13 @@ def _text(d: str | Column, t: str | Column) -> Column:
 
 
 
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text) of the texts x that are wanted, without repeats. It leaves rows by (doc_id, th), so a join on these moves them no more."""
+    rows = id_text(docs).where("doc_id is not null and text is not null").withColumn("th", F.xxhash64("text"))
+    keys = wanted.select(F.col("x.d").alias("doc_id"), F.col("x.t").alias("th"))
+    return met(rows, keys, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of texts that have J_P >= threshold. Texts b meet their text a in one sorted stream."""
     spark = pairs.sparkSession
@@ -143,15 +153,14 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int = SHING
     n_pairs = pairs.count()
     if not n_pairs:
         return pairs
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x.d", "x.t")
-    rows = id_text(docs).where("text is not null").withColumn("th", F.xxhash64("text"))
-    texts = stage(rows.join(small(wanted, 2 * n_pairs), F.expr("doc_id = d and th = t"), "left_semi").select(_text("doc_id", "th").alias("x"), "text").dropDuplicates(["x"]), "texts")
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "wanted")
+    texts = _texts(wanted, docs)
     # A text with very many partners is shared out over salts, so that no task has them all.
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("salts"))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     salted = salted.join(load, "a").withColumn("salt", (F.col("salt") % F.col("salts")).cast("int"))
-    members = salted.join(texts, F.col("b") == F.col("x")).select("a", "salt", "b", "text")
-    leaders = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, F.col("a") == F.col("x")).select("a", "salt", F.lit(None).cast(TEXT).alias("b"), "text")
+    members = salted.join(texts, F.expr("b.d = doc_id and b.t = th")).select("a", "salt", "b", "text")
+    leaders = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, F.expr("a.d = doc_id and a.t = th")).select("a", "salt", F.lit(None).cast(TEXT).alias("b"), "text")
     flat = [F.col(f"{c}.{f}").alias(f"{c}{f}") for c in "ab" for f in "dt"]
     stream = leaders.unionByName(members).select(*flat[:2], "salt", *flat[2:], "text")
     stream = stream.repartition(max(n_partitions(spark), n_pairs // 50_000), "ad", "at", "salt").sortWithinPartitions("ad", "at", "salt", F.col("bd").asc_nulls_first(), "bt")
@@ -175,7 +184,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int = SHING
                 yield b.select(["ad", "at", "bd", "bt"]).take(pa.array(good))
 
     out = stage(stream.mapInArrow(compare, "ad long, at long, bd long, bt long").distinct().select(_text("ad", "at").alias("a"), _text("bd", "bt").alias("b")), "verified")
-    release(pairs, texts)
+    release(pairs, wanted)
     return out
 
 
@@ -241,6 +250,37 @@ def _buckets(rows: DataFrame, d: str, t: str) -> DataFrame:
     return many.where("ld <> hd or least <> most").select("band", "ld", "lt")
 
 
+def _across(open_: DataFrame, docs: DataFrame, threshold: float, k: int = SHINGLE) -> DataFrame:
+    """(a, b): the pairs of open texts across the groups of a bucket, whose rows (doc_id, text) are docs, without those that are below the threshold for certain.
+
+    Let P and Q be the shares of two texts' weight in shingles of both. Then 1 / J_P >= 1 / P + 1 / Q - 1: with x and y
+    normalised, the inner sum at d is at least 1 / x_d + (1 - Q) / y_d, and x y / (y + (1 - Q) x) is concave and
+    homogeneous, so its sum over the common shingles is at most its value at (P, Q). In any one order of shingles, all
+    before the first common one is not common: if it comes after shares p and q of the weights, P <= 1 - p and
+    Q <= 1 - q. So texts at the threshold t have a common shingle with 1 / (1 - p) + 1 / (1 - q) <= 1 / t + 1, and the
+    lesser of p and q is at most (1 - t) / (1 + t). Rare shingles come first, so that what fills a bucket, a
+    sentence of many texts, leads to a pair only where it is most of both.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, column="text"):
+            doc, g, w = weighted_shingles(Words(b.column(2)), k)
+            at = pa.array(doc)
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(g.view(np.int64)), pa.array(w / np.bincount(doc, w, b.num_rows)[doc])], names=["d", "t", "g", "w"])
+
+    own = stage(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(shingles, "d long, t long, g long, w double"), "shingles")
+    often = own.groupBy("g").agg(F.count(F.lit(1)).alias("texts"))
+    before = F.sum("w").over(Window.partitionBy("d", "t").orderBy("texts", "g").rowsBetween(Window.unboundedPreceding, -1))
+    early = own.join(often, "g").withColumn("p", F.coalesce(before, F.lit(0.0))).where((F.col("p") <= 1 - threshold + 1e-9) & (F.col("texts") > 1))
+    rows = stage(open_.select("band", "x", "rd", "rt").join(early.select(_text("d", "t").alias("x"), "g", "p"), "x"), "early")
+    left, right = rows.where(F.col("p") <= (1 - threshold) / (1 + threshold) + 1e-9).alias("l"), rows.alias("r")
+    close = f"{threshold} * (2 - l.p - r.p) <= (1 + {threshold}) * (1 - l.p) * (1 - r.p) + 1e-9D"
+    apart = F.expr(f"l.band = r.band and l.g = r.g and l.x <> r.x and (l.rd <> r.rd or l.rt <> r.rt) and {close}")
+    out = stage(left.join(right, apart).select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b")).distinct(), "across")
+    release(own, rows)
+    return out
+
+
 def grouped_rows(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """(doc_id, th, kept_doc_id, n_links): a row for each (doc_id, text) that another one of its group stands for."""
     sig = stage(signatures(docs, k, m, rows), "signatures")
@@ -249,28 +289,33 @@ def grouped_rows(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     shared = names.groupBy("s1", "s2").agg(F.min(_text("doc_id", "th")).alias("least"), F.count(F.lit(1)).alias("n"))
     same = stage(shared.where("n > 1").select("s1", "s2", "least"), "same")
     own = [F.coalesce("least.d", "doc_id").alias("d"), F.coalesce("least.t", "th").alias("t")]
-    bands = sig.join(small(same), ["s1", "s2"], "left").where("least is null or (doc_id = least.d and th = least.t)").select(*own, F.explode("bands").alias("band"))
-    bands = stage(bands, "bands")
+    n_same = same.count()
+    every = met(sig, same, ["s1", "s2"], "left", n_same).where("least is null or (doc_id = least.d and th = least.t)").select(*own, F.explode("bands").alias("band"))
+    # Most band keys are one text's: keys are counted first, eight bytes each, and rows move only where theirs is repeated.
+    shards = 1 << max(0, (n_partitions(docs.sparkSession) - 1).bit_length())
+    repeated = stage(repeated_fingerprints(every.select("band"), shards).select("fp"), "repeated")
+    table = sieve(repeated, repeated.count())
+    bands = stage(sifted(every, "band", table, "left_semi"), "bands")
     members = stage(bands.join(small(stage(_buckets(bands, "d", "t"), "buckets")), "band").select("band", "d", "t", "ld", "lt").distinct(), "members")
     first = members.where("d <> ld or t <> lt").select(_text("ld", "lt").alias("a"), _text("d", "t").alias("b")).distinct()
     found = verified(first, docs, threshold, k)
     comp = components(found)
-    # Buckets whose members aren't all joined by now: every pair across groups is compared too.
-    rooted = members.withColumn("x", _text("d", "t")).join(comp.withColumnRenamed("node", "x"), "x", "left")
-    rooted = rooted.select("band", "x", F.expr("d = ld and t = lt").alias("led"), F.coalesce("root.d", "d").alias("rd"), F.coalesce("root.t", "t").alias("rt"))
+    # Buckets whose members aren't all joined by now: pairs across groups are compared too (the first one was with all).
+    rooted = met(members.where("d <> ld or t <> lt").withColumn("x", _text("d", "t")), comp.withColumnRenamed("node", "x"), ["x"], "left")
+    rooted = rooted.select("band", "x", F.coalesce("root.d", "d").alias("rd"), F.coalesce("root.t", "t").alias("rt"))
     open_ = stage(rooted.join(small(stage(_buckets(rooted, "rd", "rt").select("band"), "buckets")), "band", "left_semi"), "open")
-    left, right = open_.alias("l"), open_.alias("r")
-    apart = F.expr("l.band = r.band and l.x < r.x and (l.rd <> r.rd or l.rt <> r.rt) and not l.led and not r.led")
-    across = left.join(right, apart).select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
-    more = verified(across.join(first, ["a", "b"], "left_anti"), docs, threshold, k)
+    wanted = stage(open_.select("x").distinct(), "wanted")
+    texts = stage(_texts(wanted, docs).select("doc_id", "text"), "texts")
+    across = _across(open_, texts, threshold, k)
+    more = verified(across.join(first, ["a", "b"], "left_anti"), texts, threshold, k)
     links = found.unionByName(more)
     final = components(comp.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
     degree = links.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("n_links"))
     inside = final.withColumnRenamed("node", "x").join(degree, "x", "full").select("x", F.coalesce("root", "x").alias("root"), "n_links")
-    row = names.join(small(same), ["s1", "s2"], "left").select("doc_id", "th", _text(F.coalesce("least.d", "doc_id"), F.coalesce("least.t", "th")).alias("x")).distinct()
-    out = row.join(small(stage(inside, "inside")), "x", "left").select("doc_id", "th", F.coalesce("root", "x").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    row = met(names, same, ["s1", "s2"], "left", n_same).select("doc_id", "th", _text(F.coalesce("least.d", "doc_id"), F.coalesce("least.t", "th")).alias("x")).distinct()
+    out = met(row, stage(inside, "inside"), ["x"], "left").select("doc_id", "th", F.coalesce("root", "x").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = stage(out.where("not (doc_id = root.d and th = root.t)").select("doc_id", "th", F.col("root.d").alias("kept_doc_id"), "n_links"), "grouped")
-    release(sig, bands, members, open_, same, found, more)
+    release(sig, bands, members, open_, same, found, more, repeated, table[0], wanted, texts, across)
     return out
 
 
@@ -287,5 +332,6 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group, all columns kept; rows whose text has no partner stay, whatever their doc_id."""
     need(docs, "doc_id", "text")
     one, other = fresh(docs, "gone"), fresh(docs, "hash")
-    gone = small(grouped_rows(docs, **options).select(F.col("doc_id").alias(one), F.col("th").alias(other)))
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(one)) & (F.xxhash64(docs["text"].cast("string")) == F.col(other)), "left_anti")
+    gone = grouped_rows(docs, **options).select(F.col("doc_id").alias(one), F.col("th").alias(other))
+    named = docs.withColumns({one: docs["doc_id"].cast("long"), other: F.xxhash64(docs["text"].cast("string"))})
+    return met(named, gone, [one, other], "left_anti").drop(one, other)

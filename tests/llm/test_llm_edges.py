@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from corollary.llm import decontaminate, exact_dedup, language_id, licenses, near_dup, packing, pii, suffix_dedup, toxicity, training_order
+from corollary.llm import common, decontaminate, exact_dedup, language_id, licenses, near_dup, packing, pii, suffix_dedup, toxicity, training_order
 from corollary.llm.textops import Words
 from corollary.llm.tokens import encoder
 
@@ -109,6 +109,86 @@ def test_near_groups_against_all_pairs(spark):
         assert len(own) - len(inside) == 1 and all(got[x] == least for x in inside)
 
 
+def boilerplate_docs(n):
+    """n texts of which two in five words are one sentence, n // 10 of them with a near copy, which has the sentence too."""
+    rng = random.Random(9)
+    common_words = fresh(rng, 12)
+    docs = [(i, f"{fresh(rng, 18)} {common_words}") for i in range(n)]
+    for i in range(n // 10):
+        own = docs[7 * i][1].split()
+        own[3] = "other"
+        docs.append((1000 + i, " ".join(own)))
+    return docs
+
+
+@pytest.mark.parametrize("broadcast", [0, 250_000])
+def test_near_pairs_of_a_shared_sentence(spark, monkeypatch, broadcast):
+    """A sentence of very many texts fills buckets, but their pairs aren't all compared; what moves doesn't depend on it, nor does the result on joins' kinds."""
+    docs = boilerplate_docs(150)
+    staged = {}
+
+    def stage(df, name):
+        out = common.stage(df, name)
+        staged.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(near_dup, "stage", stage)
+    got = sorted(tuple(r) for r in near_dup.near_groups(spark.createDataFrame(docs, DOCS), rows=1).collect())
+    assert got == [(1000 + i, 7 * i, 1) for i in range(15)]
+    assert sum(staged["pairs"]) < len(docs) * 40  # the first of each bucket with all, and few besides: all pairs are 13,530
+    assert sum(staged["pairs"][1:]) < len(docs)
+
+
+def test_near_rows_of_lone_bands_stay(spark, monkeypatch):
+    """Rows of band keys that one text has aren't written, and all that have a partner are."""
+    rng = random.Random(10)
+    docs = [(i, fresh(rng, 30)) for i in range(200)]
+    docs.append((500, docs[4][1] + " more"))
+    staged = {}
+
+    def stage(df, name):
+        out = common.stage(df, name)
+        staged.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "stage", stage)
+    df = spark.createDataFrame(docs, DOCS)
+    assert [tuple(r) for r in near_dup.near_groups(df).collect()] == [(500, 4, 1)]
+    assert staged["bands"][0] < 1000 and staged["members"][0] > 2  # of 8,040
+
+
+def test_bound_of_pairs_across():
+    """No pair at the threshold is held back: the first common shingle of any order comes early enough in both."""
+    rng = np.random.default_rng(11)
+    for n in range(600):
+        size = int(rng.integers(2, 25))
+        at = [np.sort(rng.choice(30, size=int(rng.integers(1, size + 1)), replace=False)) for _ in range(2)]
+        if n % 3 == 0:
+            at[1] = at[0]
+        w = [rng.integers(1, 1 + rng.integers(1, 9), len(a)).astype(float) for a in at]
+        both, ia, ib = np.intersect1d(*at, assume_unique=True, return_indices=True)
+        if not len(both):
+            continue
+        jp = near_dup.probability_jaccard((at[0], w[0]), (at[1], w[1]))
+        p, q = w[0][: ia[0]].sum() / w[0].sum(), w[1][: ib[0]].sum() / w[1].sum()
+        assert 1 / (1 - p) + 1 / (1 - q) <= 1 / jp + 1 + 1e-9
+        assert min(p, q) <= (1 - jp) / (1 + jp) + 1e-9 and max(p, q) <= 1 - jp + 1e-9
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
+def test_joins_by_a_sieve(spark, monkeypatch, how):
+    """The same rows as a plain join, null keys and columns of its own names among them; few rows of no partner pass."""
+    left = spark.range(5000).selectExpr("nullif(id % 4000, 7) AS k", "id AS key", "id AS page", "id AS words")
+    other = spark.range(3500, 9000).selectExpr("id AS k", "id AS v").withColumnRenamed("v", "value")
+    want = sorted(map(str, left.join(other, ["k"], how).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert sorted(map(str, common.met(left, other, ["k"], how).collect())) == want
+    keyed = left.selectExpr("xxhash64(k) AS h")
+    table = common.sieve(other.selectExpr("xxhash64(k) AS h"), 5500)
+    assert 500 <= common.sifted(keyed, "h", table, "left_semi").count() < 1200
+
+
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_components(spark, most):
     rng = random.Random(most)
